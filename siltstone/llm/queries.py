@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
-from ._common import table
+from . import langid, quality_fm, quality_rules
+from ._common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 5) == 0
+    model = langid.fit_langid(documents.where(~held_out))
+    return langid.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4) == 2
+    model = quality_fm.fit_quality_fm(documents, labels.where(~held_out))
+    return quality_fm.score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +31,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
 }
 
