@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality_fm, quality_rules
+from . import langid, packing, quality_fm, quality_rules, sharding, token_files
 from ._common import fold, table
 
 
@@ -30,10 +30,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents, trees)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read_back(spark, path)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op8_token_files": op8_token_files,
+    "op9_sharding": op9_sharding,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
