@@ -209,15 +209,14 @@ def block_links(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _row_blocks(classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links (a1, a2, b1, b2) found among classes that share a signature."""
-    sigs = classes.select("k1", "k2", "rep", F.explode("sig").alias("s"))
+    """Links (a, b) of nodes found among classes that share a signature."""
+    sigs = classes.select("node", "k1", "k2", "rep", F.explode("sig").alias("s"))
     # Groups of a signature: their size and first class, summed with map-side combining.
-    groups = sigs.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("k1", "k2")).alias("first")).where("size > 1")
+    groups = sigs.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
     placed = materialise(
-        sigs.join(groups, "s").withColumn("blocks", F.ceil(F.col("size") / F.lit(ROWS)).cast("int"))
-        .withColumn("leads", (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")))
+        sigs.join(groups, "s").withColumn("blocks", F.ceil(F.col("size") / F.lit(ROWS)).cast("int")).withColumn("leads", F.col("node") == F.col("first"))
         .withColumn("block", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.col("k2"), F.col("blocks")).cast("int")))))
-        .select("s", "block", "leads", "k1", "k2", "rep"),
+        .select("s", "block", "leads", "node", "k1", "k2", "rep"),
         "ngram-row-blocks",
     )
     sets = _sets_of(documents, placed, "ngram-row-sets")
@@ -226,30 +225,29 @@ def _row_blocks(classes: DataFrame, documents: DataFrame) -> DataFrame:
         group, key = [], None
 
         def solved():
-            group.sort(key=lambda r: (not r[0], r[1], r[2]))
-            rows = [r for i, r in enumerate(group) if not i or r[1:3] != group[i - 1][1:3]]
-            label = block_links([np.frombuffer(r[3], dtype=np.uint64) for r in rows]) if len(rows) > 1 else [0]
-            return [(*rows[k][1:3], *rows[i][1:3]) for i, k in enumerate(label) if i != k]
+            group.sort(key=lambda r: (not r[0], r[1]))
+            label = block_links([np.frombuffer(r[2], dtype=np.uint64) for r in group])
+            return [(group[k][1], group[i][1]) for i, k in enumerate(label) if i != k]
 
         def batch_of(links):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a1", "a2", "b1", "b2"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
         for batch in batches:
             links = []
-            for s, block, leads, k1, k2, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (s, block) != key:
                     if len(group) > 1:
                         links += solved()
                     group, key = [], (s, block)
-                group.append((leads, k1, k2, shingles))
+                group.append(row)
             if links:
                 yield batch_of(links)
         if len(group) > 1 and (links := solved()):
             yield batch_of(links)
 
     return materialise(
-        placed.join(sets, ["k1", "k2"]).select("s", "block", "leads", "k1", "k2", "shingles")
-        .repartition("s", "block").sortWithinPartitions("s", "block").mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint"),
+        placed.join(sets, ["k1", "k2"]).select("s", "block", "leads", "node", "shingles")
+        .repartition("s", "block").sortWithinPartitions("s", "block").mapInArrow(run, "a bigint, b bigint"),
         "ngram-row-links",
     )
 
@@ -314,8 +312,8 @@ def column_pairs(h: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray,
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
 
-def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, links: DataFrame, n_docs: int, n_entries: int) -> DataFrame:
-    """Links among classes that the row blocks have not connected."""
+def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_docs: int, n_entries: int) -> DataFrame:
+    """Links (a, b) of labels among classes that the row blocks have not connected; ``classes`` has their labels."""
     spark = documents.sparkSession
     # At most shingles / cut values: with the mean set's size, COMMON_SHARE times that.
     cut = max(COMMON_LEAST, n_docs // COMMON_SHARE)
@@ -336,23 +334,18 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, lin
                     ["k1", "k2", "n", "shingles"],
                 )
 
-    # What the row blocks have connected: the least root of a class, and that root's root.
-    ends = links.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.struct("a1", "a2").alias("root"))
-    roots = ends.groupBy("k1", "k2").agg(F.min("root").alias("root"))
-    hop = roots.select(F.struct(F.col("k1").alias("a1"), F.col("k2").alias("a2")).alias("root"), F.col("root").alias("next"))
-    roots = roots.join(hop, "root", "left").select("k1", "k2", F.coalesce("next", "root").alias("root"))
     blocks = max(1, -(-n_entries // BLOCK_ENTRIES))
 
     def deal(batches):
         for batch in batches:
             out = []
-            for k1, k2, n, label, shingles in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "n", "label", "shingles")), strict=True):
+            for node, label, n, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "n", "shingles")), strict=True):
                 h = np.frombuffer(shingles, dtype=np.uint64)
                 block = (h % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 block, pos, h = block[order], order.astype("<u4"), h[order]
                 edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(h)).tolist()
-                out += [(int(block[a]), k1, k2, n, label, h[a:b].tobytes(), pos[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+                out += [(int(block[a]), node, label, n, h[a:b].tobytes(), pos[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
                 if len(out) >= 20_000:
                     yield _dealt(out)
                     out = []
@@ -363,13 +356,16 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, lin
         held, current = [], None
 
         def solved():
-            k1, k2, n, label, h, pos = zip(*held, strict=True)
+            node, label, n, h, pos = zip(*held, strict=True)
             counts = np.array([len(x) // 8 for x in h])
+            label, node = np.array(label), np.array(node)
             got = column_pairs(
-                np.frombuffer(b"".join(h), dtype=np.uint64), np.repeat(np.arange(len(h)), counts), np.frombuffer(b"".join(pos), dtype="<u4").astype(np.int64), np.array(n), np.array(label)
+                np.frombuffer(b"".join(h), dtype=np.uint64), np.repeat(np.arange(len(h)), counts), np.frombuffer(b"".join(pos), dtype="<u4").astype(np.int64), np.array(n), label
             )
-            k = np.array([k1, k2], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k[c, got[:, side]]) for side in (0, 1) for c in (0, 1)], ["a1", "a2", "b1", "b2"])
+            a, b = got[:, 0], got[:, 1]
+            swap = node[a] > node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], label[a], label[b])], ["a", "b", "la", "lb"])
 
         for batch in batches:
             for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -382,36 +378,30 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, lin
             yield solved()
 
     rows = documents.select("text").mapInArrow(prefixes, "k1 bigint, k2 bigint, n bigint, shingles binary").dropDuplicates(["k1", "k2"])
-    root_label = F.when(F.col("root").isNull(), F.xxhash64("k1", "k2")).otherwise(F.xxhash64("root.a1", "root.a2"))
+    pair = "a bigint, b bigint, la bigint, lb bigint"
     candidates = materialise(
-        rows.join(roots, ["k1", "k2"], "left").select("k1", "k2", "n", root_label.alias("label"), "shingles")
-        .mapInArrow(deal, "block int, k1 bigint, k2 bigint, n bigint, label bigint, shingles binary, pos binary")
-        .repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(pairs, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-        .select(
-            F.expr("if(a1 < b1 or (a1 = b1 and a2 < b2), struct(a1 as x, a2 as y, b1 as z, b2 as w), struct(b1 as x, b2 as y, a1 as z, a2 as w))").alias("p")
-        ).select(F.col("p.x").alias("a1"), F.col("p.y").alias("a2"), F.col("p.z").alias("b1"), F.col("p.w").alias("b2")).distinct(),
+        rows.join(classes.select("k1", "k2", "node", "label"), ["k1", "k2"]).select("node", "label", "n", "shingles")
+        .mapInArrow(deal, "block int, node bigint, label bigint, n bigint, shingles binary, pos binary")
+        .repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(pairs, pair).distinct(),
         "ngram-candidates",
     )
-    ends = materialise(
-        candidates.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(candidates.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-        .join(classes.select("k1", "k2", "rep"), ["k1", "k2"]),
-        "ngram-ends",
-    )
-    sets = _sets_of(documents, ends, "ngram-pair-sets")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = materialise(ends.join(classes.select("node", "k1", "k2", "rep"), "node"), "ngram-ends")
+    sets = ends.join(_sets_of(documents, ends, "ngram-pair-sets"), ["k1", "k2"]).select("node", "shingles")
 
     def verify(batches):
         for batch in batches:
             a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
             keep = [bool(linked(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y))) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["a1", "a2", "b1", "b2"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["la", "lb"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x, name: sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("shingles").alias(name))
-    return candidates.join(side("b", "sb"), ["b1", "b2"]).join(side("a", "sa"), ["a1", "a2"]).select("a1", "a2", "b1", "b2", "sa", "sb").mapInArrow(verify, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    return candidates.join(side("b"), "b").join(side("a"), "a").select("la", "lb", "sa", "sb").mapInArrow(verify, "la bigint, lb bigint").distinct()
 
 
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "k1", "k2", "n", "label", "shingles", "pos"])
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "node", "label", "n", "shingles", "pos"])
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -426,15 +416,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "ngram-classes",
     )
     n_docs, n_shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
-    row_links = _row_blocks(classes, documents)
-    all_links = materialise(row_links.unionByName(_column_blocks(classes, documents, hot, row_links, n_docs, (n_shingles or 0) // DEN + n_docs)), "ngram-links")
-    node = lambda x: classes.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("node").alias(x))
-    edges = all_links.join(node("a"), ["a1", "a2"]).join(node("b"), ["b1", "b2"]).select("a", "b")
-    joined = components(edges)
-    placed = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Only classes with a link need the least id of their component; the others have their own.
-    linked_ids = placed.where(F.col("node").isNotNull()).groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialise(placed.join(linked_ids, "component").select("k1", "k2", "component_id", "n_copies"), "ngram-named")
+    labels = components(_row_blocks(classes, documents)).withColumnRenamed("component", "found")
+    labelled = materialise(classes.join(labels, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"), "ngram-labelled")
+    joined = components(_column_blocks(labelled, documents, hot, n_docs, (n_shingles or 0) // DEN + n_docs), "la", "lb")
+    placed = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialise(placed.join(least, "component").select("k1", "k2", "component_id", "n_copies"), "ngram-named")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("n_copies"))
     return rows.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies").unionByName(alone)
 
