@@ -166,7 +166,7 @@ def exact_topk(
         .mapInArrow(route, "query_id bigint, qv array<bigint>, grp int, sub int, cell int"),
         "topk-routed",
     )
-    wanted = routed.select("grp", "sub", "cell").distinct()
+    wanted = materialise(routed.select("grp", "sub", "cell").distinct(), "topk-wanted")
     data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.lit(2)), by_cell(data_blocks)).cast("int").alias("block")).join(wanted, "cell")
     asked = routed.withColumn("block", F.explode(F.sequence(F.lit(0), (by_cell(data_blocks) - 1).cast("int"))))
     key = ["grp", "sub", "cell", "block"]
