@@ -3,8 +3,10 @@
 Source token shares ``p`` are raised to an exponent ``a`` in [0, 1] and normalised:
 ``w = p^a / sum p^a``.  The exponent is the largest at which the mix has the target entropy
 (a share of the greatest, log of the number of sources), raised where a source would
-otherwise be repeated more than ``max_repetition`` times within the token budget.  Both
-conditions are monotonic in ``a``, so it is bisected; one job evaluates ``2^STEPS - 1``
+otherwise be repeated more than ``max_repetition`` times within the token budget.  By
+default the budget is the least at which every document is taken once, so mixing repeats
+light sources and drops nothing; a smaller budget samples the heavy ones.  Both conditions
+are monotonic in ``a``, so it is bisected; one job evaluates ``2^STEPS - 1``
 exponents at once, which is ``STEPS`` bisections, and the sources never leave Spark.
 
 The weights are realised as budgeted block permutations.  Source ``s`` owes
@@ -16,7 +18,7 @@ Running sums go over hash buckets of bounded size, shifted by the sums of the bu
 before, so a source with a third of all rows is spread like any other.
 
 Edge cases: a null source is a source of its own.  A null text has no tokens; a document
-without tokens is taken once in the first pass if its place comes up.  Null and
+without tokens is taken in the first pass if its place is within the quota.  Null and
 repeated ids and repeated rows are each mixed as rows.  An empty table, or one
 without any token, is returned as it is (one pass, one block).  One source keeps weight 1.
 Columns of ``documents`` are carried under one struct, so their names cannot clash.
@@ -48,7 +50,7 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def exponent(sources: DataFrame, target_entropy_share: float, max_repetition: float, budget: float, total: float, n: int) -> float:
+def exponent(sources: DataFrame, target_entropy_share: float, max_repetition: float, budget: float | None, total: float, n: int) -> float:
     """The exponent of the mix; ``sources`` has a positive ``tokens`` for each source."""
     target = target_entropy_share * math.log(max(n, 1))
     k = 1 << STEPS
@@ -64,6 +66,7 @@ def exponent(sources: DataFrame, target_entropy_share: float, max_repetition: fl
                     F.sum(term.cast(_TERM)).cast("double").alias("z"),
                     F.sum((term * F.col("a") * F.log(p)).cast(_TERM)).cast("double").alias("zl"),
                     F.max(term / F.col("tokens")).alias("most"),
+                    F.min(term / F.col("tokens")).alias("least"),
                 ).select("a", holds.alias("ok")).collect()
             )
             good = [r["a"] for r in found if r["ok"]]
@@ -76,7 +79,7 @@ def exponent(sources: DataFrame, target_entropy_share: float, max_repetition: fl
 
     entropy = F.log("z") - F.col("zl") / F.col("z")
     a = search(entropy >= F.lit(target), 0.0, 1.0, largest=True)
-    repetition = F.col("most") / F.col("z") * F.lit(budget)
+    repetition = F.col("most") / F.col("least") if budget is None else F.col("most") / F.col("z") * F.lit(budget)
     return max(a, search(repetition <= F.lit(max_repetition), 0.0, 1.0, largest=False)) if max_repetition else a
 
 
@@ -86,8 +89,8 @@ def mix(
 ) -> DataFrame:
     """The mixed stream: columns ``doc`` (a struct of the row), ``source``, ``tokens``, ``epoch``, ``block``, ``place``.
 
-    ``budget``: tokens of the stream, by default those of the input.  ``carry``: the columns
-    of ``documents`` in ``doc``, by default all; others are not shuffled.
+    ``budget``: tokens of the stream, by default the least that holds every document.
+    ``carry``: the columns of ``documents`` in ``doc``, by default all; others are not shuffled.
     """
     # The draw rests on the row's text as well, so equal ids do not pile up in one bucket.
     keyed = documents.select(
@@ -98,11 +101,14 @@ def mix(
     total, most_rows, n = sources.agg(F.sum("tokens"), F.max("n_rows"), F.count(F.when(F.col("tokens") > 0, 1))).first()
     if not total:
         return keyed.select("doc", "source", "tokens", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("place"))
-    budget = budget or total
-    a = exponent(sources.where("tokens > 0"), target_entropy_share, max_repetition, float(budget), float(total), n)
+    whole = budget is None
+    a = exponent(sources.where("tokens > 0"), target_entropy_share, max_repetition, None if whole else float(budget), float(total), n)
     term = F.when(F.col("tokens") > 0, F.exp(F.lit(a) * F.log(F.col("tokens") / F.lit(float(total)))))
-    z = sources.agg(F.sum(term.cast(_TERM)).cast("double")).first()[0]
-    quota = sources.select("source", F.col("tokens").alias("source_tokens"), F.coalesce(F.round(term / F.lit(z) * F.lit(budget)), F.lit(0)).cast("bigint").alias("owed"))
+    z, least = sources.agg(F.sum(term.cast(_TERM)).cast("double"), F.min(term / F.col("tokens"))).first()
+    if whole:
+        budget = z / least
+    owed = F.coalesce(F.round(term / F.lit(z) * F.lit(float(budget))), F.lit(0)).cast("bigint")
+    quota = sources.select("source", F.col("tokens").alias("source_tokens"), (F.greatest(owed, F.col("tokens")) if whole else owed).alias("owed"))
 
     blocks = max(1, round(budget / block_tokens))
     buckets = max(1, math.ceil(most_rows / BUCKET_ROWS))
@@ -122,8 +128,8 @@ def mix(
     runs = runs.withColumn("before", F.coalesce(F.sum("weight").over(inside), F.lit(0)))
     taken = (
         runs.alias("r").join(shift.alias("s"), same("r", "s") & (F.col("r.epoch") == F.col("s.epoch")) & (F.col("r.bucket") == F.col("s.bucket")))
-        .select("r.source", "draw", "r.epoch", "owed", (F.col("r.epoch") * F.col("source_tokens") + F.col("shift") + F.col("before")).alias("at"))
-        .where((F.col("at") < F.col("owed")) | ((F.col("source_tokens") == 0) & (F.col("epoch") == 0)))
+        .select("r.source", "draw", "r.epoch", "owed", "tokens", (F.col("r.epoch") * F.col("source_tokens") + F.col("shift") + F.col("before")).alias("at"))
+        .where((F.col("at") < F.col("owed")) | ((F.col("epoch") == 0) & (F.col("at") <= F.col("owed")) & (F.col("tokens") == 0)))
         .select("source", "draw", "epoch", F.least(F.lit(blocks - 1), F.floor(F.col("at") / F.greatest(F.col("owed"), F.lit(1)) * F.lit(blocks))).cast("bigint").alias("block"))
     )
     place = F.xxhash64(F.lit(seed + 2), "k.draw", "epoch")
