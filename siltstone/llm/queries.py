@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ngram_join, packing, quality_fm, quality_rules, sharding, token_files, topk_voronoi
+from . import html_wrapper, langid, mixing, ngram_join, packing, quality_fm, quality_rules, sharding, token_files, topk_voronoi
 from ._common import fold, table
 
 
@@ -38,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     trees = quality_rules.fit_quality_trees(documents, table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op6_quality_classifier": op6_quality_classifier,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op8_token_files": op8_token_files,
     "op9_sharding": op9_sharding,
