@@ -1 +1 @@
-
+"""The engine facade and the registered queries."""

@@ -1 +1 @@
-
+"""Readers of corpora, manifests, logs and registries."""

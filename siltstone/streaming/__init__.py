@@ -1 +1 @@
-
+"""Streaming ingestion."""
