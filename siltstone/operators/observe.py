@@ -15,10 +15,10 @@ def number_after(line: Column, key: str) -> Column:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """(line_no, at, kind, failed, actual_tokens, cold_tokens, value) of rows (line_no, value)."""
+    """(line_no, logged_at, kind, failed, actual_tokens, cold_tokens, value) of rows (line_no, value)."""
     v = F.col("value")
     return lines.select(
-        "line_no", F.regexp_extract(v, r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)  ", 1).alias("at"), F.regexp_extract(v, r"^\S+ \S+  (serve start|\S+)", 1).alias("kind"),
+        "line_no", F.regexp_extract(v, r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)  ", 1).alias("logged_at"), F.regexp_extract(v, r"^\S+ \S+  (serve start|\S+)", 1).alias("kind"),
         v.contains("status=error").alias("failed"), number_after(v, "actual_tok").alias("actual_tokens"), number_after(v, "cold_tok").alias("cold_tokens"), "value",
     )
 
@@ -36,7 +36,7 @@ def recent(log: DataFrame, n: int) -> DataFrame:
 
 
 def last_serve(log: DataFrame) -> DataFrame:
-    return log.where(F.col("kind") == "serve start").agg(F.max("at").alias("last_serve"))
+    return log.where(F.col("kind") == "serve start").agg(F.max("logged_at").alias("last_serve"))
 
 
 def cold_tokens(hits: DataFrame, sources: DataFrame) -> DataFrame:
