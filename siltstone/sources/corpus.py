@@ -138,9 +138,25 @@ def read_files(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
     root = os.path.realpath(root)
-    rows = spark.read.format("binaryFile").load([f"file://{os.path.join(root, f)}" for f in files])
-    path = F.expr(f"substring(url_decode(regexp_replace(path, '[+]', '%2B')), {len('file:' + root) + 2})")
-    return rows.select(path.alias("path"), "content", F.col("length").alias("size"))
+    skipped = [f for f in files if os.path.basename(f)[0] in "._"]  # names that Spark's file listing leaves out
+    listed = sorted(set(files) - set(skipped))
+    made = spark.createDataFrame([], schema)
+    if listed:
+        rows = spark.read.format("binaryFile").load([f"file://{os.path.join(root, f)}" for f in listed])
+        path = F.expr(f"substring(url_decode(regexp_replace(path, '[+]', '%2B')), {len('file:' + root) + 2})")
+        made = rows.select(path.alias("path"), "content", F.col("length").alias("size"))
+    if skipped:
+
+        def opened(frames):
+            for frame in frames:
+                contents = []
+                for name in frame["path"]:
+                    with open(os.path.join(root, name), "rb") as file:
+                        contents.append(file.read())
+                yield frame.assign(content=contents, size=[len(c) for c in contents])
+
+        made = made.unionByName(spark.createDataFrame([(f,) for f in skipped], "path string").mapInPandas(opened, schema))
+    return made
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
