@@ -7,8 +7,8 @@ weight, by a hash of its rows' ids.  Heavy groups (chunks included) are single i
 many light groups are first dealt by their text's hash to a fixed number of bundles, each an
 item.  The number of items so has a bound that does not grow with the input, and only
 their three sums reach the driver.  Items go in falling order of size, each to the shard where the
-dot product of its vector (bytes, tokens, rows, as shares of a shard's capacity) with the
-shard's residual capacity is highest.
+weighted dot product of its vector (bytes, tokens, rows, as shares of a shard's capacity)
+with the shard's residual capacity is highest.
 
 Within a shard, slots count from 0 without a gap.  They follow (bucket, hash, doc_id): rows
 are numbered inside small buckets and shifted by the sizes of the buckets before, so no
@@ -36,6 +36,8 @@ BUNDLES_PER_SHARD = 128
 SPLIT = 16
 #: Rows of a bucket in which slots are numbered.
 BUCKET_ROWS = 4000
+#: Weights of bytes, tokens and rows in the dot product: the law is on bytes.
+WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -50,7 +52,7 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     residual = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), dtype=np.int64)
     for i in np.argsort(-share.max(axis=1), kind="stable"):
-        best = int(np.argmax(residual @ share[i]))
+        best = int(np.argmax(residual @ (WEIGHTS * share[i])))
         out[i] = best
         residual[best] -= share[i]
     return out
