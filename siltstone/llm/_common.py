@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -22,11 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FORGOTTEN: set[str] = set()
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store when the driver ends."""
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
+        own = f"{named.rstrip('/')}/siltstone-{spark.sparkContext.applicationId}"
+        if own not in _FORGOTTEN:
+            _FORGOTTEN.add(own)
+            atexit.register(_forget, spark, own)
+        return own
     own = getattr(spark, "_siltstone_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="siltstone-")
