@@ -149,3 +149,31 @@ def test_streaming_merge(spark, tmp_path):
     spark.createDataFrame([("a.txt", b"gamma\n")], "path string, content binary").write.mode("append").parquet(str(tmp_path / "in"))
     ingest(engine, spark.readStream.schema("path string, content binary").parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["text"] for r in engine.store.read("chunks").collect()) == ["beta\n", "gamma\n"]
+
+
+def test_activity_lines_are_read_back(spark, tmp_path, monkeypatch):
+    from siltstone.operators import observe
+    from siltstone.sources import activity
+
+    path = str(tmp_path / "logs/activity.log")
+    activity.found(path, "a b", 3, 10, 40)
+    activity.retrieved(path, "id", "a.txt")
+    activity.related(path, "s", "callers", 1)
+    activity.failed(path, "find", 'q="x"', "no terms")
+    log = observe.parsed(manifests.read_log(spark, path))
+    assert observe.stats(log).first().asDict() == {"finds": 1, "actual_tokens": 10, "cold_tokens": 40, "ratio": 4.0}
+    assert [r["kind"] for r in observe.recent(log, 9).collect()] == ["find", "retrieve", "find_related", "find"]
+    monkeypatch.setattr(activity, "MAX_BYTES", 1)
+    activity.append(path, "list_corpora", "count=1")
+    assert len(open(path).readlines()) == 1 and os.path.exists(path + ".1")
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from siltstone.__main__ import main
+
+    base = ["--db", str(tmp_path / "db"), "--log", str(tmp_path / "log"), "--registry", str(tmp_path / "reg")]
+    assert main([*base, "index", str(tree)]) == 0
+    assert main([*base, "find", "alpha", "--strategy", "reranked"]) == 0
+    assert main([*base, "setup", "one", str(tree)]) == 0 and main([*base, "list"]) == 0 and main([*base, "delete", "one"]) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert out[0]["indexed"] == 5 and out[1]["source_path"] == "a.txt" and "text" not in out[1] and out[2]["name"] == "one"
