@@ -6,16 +6,19 @@ at a Jaccard similarity of ``NUM / DEN`` or more.  Documents with equal sets are
 
 1. Sets are hashed and classes formed; shingles that are frequent inside a chunk of the
    corpus are counted.  A shingle that is frequent overall is frequent in some chunk.
+   Each class keeps a bitmap of its set, of about two bits a shingle: the bits of one set
+   that another lacks bound their overlap from above.
 2. Row blocks: classes that share one of their least ``SIGNATURES`` shingles meet in blocks
-   of at most ``ROWS`` classes (with the group's first class in each).  A block's overlaps
-   are one product of its incidence matrix with its transpose, accumulated over column
-   chunks; only a spanning forest of the links leaves the task.
+   of at most ``ROWS`` classes (with the group's first class in each).  Rows whose bitmap
+   rules out every other row of the block leave.  The overlaps of the others
+   are one product of the block's incidence matrix with its transpose, accumulated over
+   column chunks; only a spanning forest of the links leaves the task.
 3. Column blocks: the product restricted to where it can still matter.  Under one order of
    all shingles (rare first), two sets that link share one among their first
    ``n - ceil(n NUM / DEN) + 1``.  Those prefixes are dealt by shingle to column blocks;
    inside a column, pairs that step 2 has connected already, pairs outside the size bound
-   and pairs whose remaining shingles cannot reach the needed overlap are discarded.  What is
-   left has its overlap counted in full.
+   and pairs whose remaining shingles cannot reach the needed overlap are discarded, then
+   pairs that their bitmaps rule out.  What is left has its overlap counted in full.
 4. Components of all links.
 
 No link is lost: a pair either lies in one component already or survives step 3.  Hash
@@ -95,6 +98,47 @@ def linked(overlap, n_a, n_b):
     return DEN * overlap >= NUM * (n_a + n_b - overlap)
 
 
+def bitmap_of(s: np.ndarray) -> bytes:
+    """A bitmap of a set: a power of two of bits, at least two for each shingle, 64 or more."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(m, dtype=np.uint8)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A packed bitmap folded to ``size`` bytes."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(bits_a: np.ndarray, n_a: int, bits_b: np.ndarray, n_b: int) -> bool:
+    """False only if the bits of one set that the other lacks rule a link out."""
+    size = min(len(bits_a), len(bits_b))
+    a, b = _folded(bits_a, size), _folded(bits_b, size)
+    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return bool(linked(most, n_a, n_b))
+
+
+def hopeful_rows(bitmaps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which rows of a block may link with another row of it."""
+    out = np.zeros(len(bitmaps), dtype=bool)
+    lengths = np.array([len(b) for b in bitmaps])
+    for size in np.unique(lengths):
+        own = np.flatnonzero((lengths == size) | (lengths == 2 * size))  # sets that link differ by a third at most
+        if len(own) < 2:
+            continue
+        m = np.unpackbits(np.stack([_folded(bitmaps[i], size) for i in own]), axis=1).astype(np.float32)
+        both, held = m @ m.T, m.sum(axis=1)
+        n = sizes[own]
+        most = np.minimum(n[:, None] - (held[:, None] - both), n[None, :] - (held[None, :] - both))
+        may = linked(most, n[:, None], n[None, :])
+        np.fill_diagonal(may, False)
+        out[own] |= may.any(axis=1)
+    return out
+
+
 def _hash_pass(documents: DataFrame) -> DataFrame:
     """One row per document (kind 0), and rows of frequent shingles of each chunk (kind 1)."""
 
@@ -106,11 +150,11 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= LOCAL_COUNT
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))), pa.array([keys[keep].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[keep].tolist()], pa.list_(pa.int64()))],
+                [*(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))), pa.array([keys[keep].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[keep].tolist()], pa.list_(pa.int64()))],
                 names,
             )
 
-        names = ["doc_id", "n", "k1", "k2", "sig", "hot", "hot_n"]
+        names = ["doc_id", "n", "k1", "k2", "bits", "sig", "hot", "hot_n"]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -119,7 +163,7 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([s[:SIGNATURES].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())),
+                        pa.array([bitmap_of(s) for s in sets], pa.binary()), pa.array([s[:SIGNATURES].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())),
                     ],
                     names,
                 )
@@ -131,7 +175,7 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return documents.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, sig array<bigint>, hot array<bigint>, hot_n array<bigint>")
+    return documents.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits binary, sig array<bigint>, hot array<bigint>, hot_n array<bigint>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -208,15 +252,39 @@ def block_links(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def _hopeful(batches):
+    """The rows of each (s, block) that may link inside it; the input is sorted by it."""
+    rest = None
+    names = ["s", "block", "leads", "node", "k1", "k2", "rep"]
+
+    def of(table):
+        s, block = table.column("s").to_numpy(), table.column("block").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (block[1:] != block[:-1]), [True]]))
+        bits, n = [np.frombuffer(b, dtype=np.uint8) for b in table.column("bits").to_pylist()], table.column("n").to_numpy()
+        keep = np.concatenate([hopeful_rows(bits[a:b], n[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
+        return table.select(names).filter(pa.array(keep))
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        s, block = table.column("s").to_numpy(), table.column("block").to_numpy()
+        last = int(np.flatnonzero((s == s[-1]) & (block == block[-1]))[0]) if len(s) else 0  # its group may go on
+        if last:
+            yield from of(table.slice(0, last)).combine_chunks().to_batches()
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield from of(rest).combine_chunks().to_batches()
+
+
 def _row_blocks(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links (a, b) of nodes found among classes that share a signature."""
-    sigs = classes.select("node", "k1", "k2", "rep", F.explode("sig").alias("s"))
+    sigs = classes.select("node", "k1", "k2", "rep", "n", "bits", F.explode("sig").alias("s"))
     # Groups of a signature: their size and first class, summed with map-side combining.
     groups = sigs.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
     placed = materialise(
         sigs.join(groups, "s").withColumn("blocks", F.ceil(F.col("size") / F.lit(ROWS)).cast("int")).withColumn("leads", F.col("node") == F.col("first"))
         .withColumn("block", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.col("k2"), F.col("blocks")).cast("int")))))
-        .select("s", "block", "leads", "node", "k1", "k2", "rep"),
+        .repartition("s", "block").sortWithinPartitions("s", "block").select("s", "block", "leads", "node", "k1", "k2", "rep", "n", "bits")
+        .mapInArrow(_hopeful, "s bigint, block int, leads boolean, node bigint, k1 bigint, k2 bigint, rep bigint"),
         "ngram-row-blocks",
     )
     sets = _sets_of(documents, placed, "ngram-row-sets")
@@ -385,6 +453,17 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_d
         .repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(pairs, pair).distinct(),
         "ngram-candidates",
     )
+    def ruled(batches):
+        for batch in batches:
+            bits = [[np.frombuffer(x, dtype=np.uint8) for x in batch.column(c).to_pylist()] for c in ("xa", "xb")]
+            sizes = [batch.column(c).to_pylist() for c in ("na", "nb")]
+            keep = [may_link(x, n, y, m) for x, n, y, m in zip(bits[0], sizes[0], bits[1], sizes[1], strict=True)]
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep, pa.bool_()))
+
+    mark = lambda x: classes.select(F.col("node").alias(x), F.col("bits").alias(f"x{x}"), F.col("n").alias(f"n{x}"))
+    candidates = materialise(
+        candidates.join(mark("b"), "b").join(mark("a"), "a").select("a", "b", "la", "lb", "xa", "na", "xb", "nb").mapInArrow(ruled, pair), "ngram-likely"
+    )
     ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends = materialise(ends.join(classes.select("node", "k1", "k2", "rep"), "node"), "ngram-ends")
     sets = ends.join(_sets_of(documents, ends, "ngram-pair-sets"), ["k1", "k2"]).select("node", "shingles")
@@ -408,16 +487,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) for every row of ``documents``."""
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     hashed = materialise(_hash_pass(documents), "ngram-hashed")
-    rows = hashed.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "sig")
+    rows = hashed.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "sig", "bits")
     hot = hashed.where(F.col("n").isNull()).select(F.explode(F.arrays_zip("hot", "hot_n")).alias("e")).select(F.col("e.hot").alias("h"), F.col("e.hot_n").alias("hn"))
     classes = materialise(
-        rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+        rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()),
         "ngram-classes",
     )
     n_docs, n_shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     labels = components(_row_blocks(classes, documents)).withColumnRenamed("component", "found")
-    labelled = materialise(classes.join(labels, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found"), "ngram-labelled")
+    labelled = materialise(classes.join(labels, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found", "sig"), "ngram-labelled")
     joined = components(_column_blocks(labelled, documents, hot, n_docs, (n_shingles or 0) // DEN + n_docs), "la", "lb")
     placed = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
