@@ -47,11 +47,12 @@ SHINGLE = 5
 SIGNATURES = 2
 ROWS = 512
 #: Shingles of a chunk whose frequent ones are counted, and their least count inside it.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 LOCAL_COUNT = 3
-#: A shingle in more than one of so many documents is ordered last, by its count.
-COMMON_SHARE = 1000
-COMMON_LEAST = 64
+#: Shingles counted this often in such chunks are ordered last, by their count.  The least
+#: count doubles until at most MAX_COMMON shingles are left, which bounds what is broadcast.
+COMMON_LEAST = 16
+MAX_COMMON = 1 << 19
 #: Prefix entries of a column block.
 BLOCK_ENTRIES = 1 << 21
 #: Buckets of the bitmaps that pre-filter rows; a collision only costs time.
@@ -380,12 +381,15 @@ def column_pairs(h: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray,
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
 
-def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_docs: int, n_entries: int) -> DataFrame:
+def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_entries: int) -> DataFrame:
     """Links (a, b) of labels among classes that the row blocks have not connected; ``classes`` has their labels."""
     spark = documents.sparkSession
-    # At most shingles / cut values: with the mean set's size, COMMON_SHARE times that.
-    cut = max(COMMON_LEAST, n_docs // COMMON_SHARE)
-    rows = hot.groupBy("h").agg(F.sum("hn").alias("hn")).where(F.col("hn") >= cut).toPandas()
+    counts = materialise(hot.groupBy("h").agg(F.sum("hn").alias("hn")).where(F.col("hn") >= COMMON_LEAST), "ngram-common")
+    sizes = {r["level"]: r["count"] for r in counts.groupBy(F.floor(F.log2("hn")).cast("int").alias("level")).count().collect()}
+    level = COMMON_LEAST.bit_length() - 1
+    while sum(n for k, n in sizes.items() if k >= level) > MAX_COMMON:
+        level += 1
+    rows = counts.where(F.col("hn") >= (1 << level)).toPandas()
     values = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[order], rows["hn"].to_numpy(dtype=np.int64)[order]))
@@ -497,7 +501,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     n_docs, n_shingles = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     labels = components(_row_blocks(classes, documents)).withColumnRenamed("component", "found")
     labelled = materialise(classes.join(labels, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found", "sig"), "ngram-labelled")
-    joined = components(_column_blocks(labelled, documents, hot, n_docs, (n_shingles or 0) // DEN + n_docs), "la", "lb")
+    joined = components(_column_blocks(labelled, documents, hot, (n_shingles or 0) // DEN + n_docs), "la", "lb")
     placed = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialise(placed.join(least, "component").select("k1", "k2", "component_id", "n_copies"), "ngram-named")
