@@ -53,8 +53,9 @@ LOCAL_COUNT = 3
 #: count doubles until at most MAX_COMMON shingles are left, which bounds what is broadcast.
 COMMON_LEAST = 16
 MAX_COMMON = 1 << 19
-#: Prefix entries of a column block.
+#: Prefix entries of a column block, and the least number of blocks.
 BLOCK_ENTRIES = 1 << 21
+LEAST_BLOCKS = 16
 #: Buckets of the bitmaps that pre-filter rows; a collision only costs time.
 BITMAP = 1 << 23
 _WORDS = 150_000
@@ -406,7 +407,7 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
                     ["k1", "k2", "n", "shingles"],
                 )
 
-    blocks = max(1, -(-n_entries // BLOCK_ENTRIES))
+    blocks = max(LEAST_BLOCKS, -(-n_entries // BLOCK_ENTRIES))
 
     def deal(batches):
         for batch in batches:
@@ -428,24 +429,24 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
         held, current = [], None
 
         def solved():
-            node, label, n, h, pos = zip(*held, strict=True)
-            counts = np.array([len(x) // 8 for x in h])
-            label, node = np.array(label), np.array(node)
-            got = column_pairs(
-                np.frombuffer(b"".join(h), dtype=np.uint64), np.repeat(np.arange(len(h)), counts), np.frombuffer(b"".join(pos), dtype="<u4").astype(np.int64), np.array(n), label
-            )
+            node, label, n, counts, h, pos = (np.concatenate(part) for part in zip(*held, strict=True))
+            got = column_pairs(h.view(np.uint64), np.repeat(np.arange(len(node)), counts), pos.view("<u4").astype(np.int64), n, label)
             a, b = got[:, 0], got[:, 1]
             swap = node[a] > node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], label[a], label[b])], ["a", "b", "la", "lb"])
 
         for batch in batches:
-            for block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != current:
+            block = batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+            for x, y in zip(edges, edges[1:], strict=False):
+                if block[x] != current:
                     if held:
                         yield solved()
-                    held, current = [], block
-                held.append(row)
+                    held, current = [], block[x]
+                part = batch.slice(x, y - x)
+                h, sizes = _bytes_of(part.column("shingles"))
+                held.append((*(part.column(c).to_numpy().copy() for c in ("node", "label", "n")), sizes // 8, h, _bytes_of(part.column("pos"))[0]))
         if held:
             yield solved()
 
@@ -482,6 +483,12 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
     return candidates.join(side("b"), "b").join(side("a"), "a").select("la", "lb", "sa", "sb").mapInArrow(verify, "la bigint, lb bigint").distinct()
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes of a binary column without nulls, and the size of each value."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].copy(), np.diff(offsets)
+
+
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "node", "label", "n", "shingles", "pos"])
