@@ -1,26 +1,28 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages are parsed to DOM trees of bounded description: a node is a tag with its class and id,
-and equal sibling blocks fold into one repeated slot.  For each host the page with the least
-id is the reference.  Every page of the host is aligned to it by simple tree matching (the
-greatest common top-down, order-preserving subtree, by dynamic programming over children),
-so its nodes get slots of the reference.  For each slot the content digests of all pages are
-counted, in Spark, with map-side combining: a slot whose content is shared by most of
-the host's pages is constant and becomes template; a slot whose content varies holds data.
-Slots of all hosts with one description are pooled as well, which gives hosts of one page a
-template to be read by.  All this runs on descriptions (names and digests, no text); html is
-shuffled only for pages that have no main element of their own and so need the template.
-
-A block of a page is kept unless it lies in a template slot or in an element that HTML or its
-name marks as furniture (menu, header, footer, sidebar, notice, advert, form, script, style,
-comments).  Inside an ``article`` or ``main`` nothing is template: a passage that many pages
-quote is text.  If a page has such an element, only its blocks are text.
-
-Edge cases: null and empty html give an empty text.  Broken markup (unclosed, stray or
-crossing tags) is read as it stands.  Null urls share the host ''.  Nesting beyond ``MAX_DEPTH``
-is read as text of the last level.  Pages with equal html give equal texts; each input row
-gives one output row; an empty table gives none.  Only ``page_id``, ``url`` and ``html`` are
-read.
+Pages are parsed to DOM trees: a node is a block element with its class and id, and every
+sibling is a node of its own.  The commonest trees of a host are merged into its reference.
+Every page of the host is aligned to it by simple tree matching (the greatest common top-down,
+order-preserving subtree; equal blocks at both ends of a child list first, then by dynamic
+programming), so its nodes get slots of the reference.  For each slot the digests of its
+blocks are counted, in Spark, over distinct page contents: copies count once, and inside an
+``article`` or ``main`` so do pages that share their longest other passage, since these are near
+copies.  A block is template if most pages of its slot have it, or if it is repeated in a slot
+that holds repeated blocks only; inside an ``article`` or ``main``, where a passage that some
+pages quote is text, most pages of the host must have it.  The same rule goes over the paths of a host, whatever the
+place among siblings and for nodes that no slot matches, and over the paths of all hosts, which
+gives hosts of one page a template.  All this runs on descriptions (names and digests, no text).
+
+The induced template decides the blocks of every page.  After it come two checks on what is left:
+a page with an ``article`` or ``main`` keeps only blocks of such elements, and elements that HTML
+marks as furniture (menu, header, footer, hidden, script, style) are left out.  One that only
+its class or id (sidebar, notice, advert, comments) or ``form`` marks is left out unless it holds
+more than half of what is left.
+
+Edge cases: null and empty html give an empty text and take no part in the induction.  Broken
+markup (unclosed, stray or crossing tags) is read as it stands.  Null urls share the host ''.
+Nesting beyond ``MAX_DEPTH`` is read as text of the last level.  Each input row gives one output
+row; an empty table gives none.  Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -28,26 +30,26 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
 
 MAX_DEPTH = 200
-#: Slots of a reference tree and children aligned at one node, at most; what lies beyond is data.
-MAX_SLOTS = 400
-MAX_CHILDREN = 60
-#: A slot is constant if one content has at least this share of a host's pages, and this many.
+#: Child lists whose product of lengths is larger are not aligned; their nodes are counted by path.
+MAX_CELLS = 250_000
+#: Trees of a host that are merged into its reference.
+REFERENCE_TREES = 8
+#: A block is constant if it is on at least this share of the pages with its slot, and on this many.
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 3
-#: A pooled description is furniture if so many pages share its content on average.
-POOLED_REPEAT = 5.0
-POOLED_PAGES = 20
-MAX_POOLED = 10_000
+#: In a slot with a constant block and this share of repeated blocks, all repeated blocks are template.
+REPEATED_SHARE = 0.9
 
 # Comments, declarations, whole tags, and at last tags with an unbalanced quote, which are skipped.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
@@ -66,7 +68,7 @@ _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 #: Elements that never hold the main text, roles alike, and words that mark furniture in a class or id.
 FURNITURE_TAGS = set(
-    "nav header footer aside form script style noscript iframe template head title menu button select option input textarea svg canvas object dialog label fieldset legend".split()
+    "nav header footer aside script style noscript iframe template head title menu button select option input textarea svg canvas object dialog label fieldset legend".split()
 )
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 FURNITURE_WORDS = set(
@@ -83,6 +85,7 @@ class Node:
     tag: str
     children: list = field(default_factory=list)  # Node or str
     furniture: bool = False
+    marked: bool = False  # only by its class or id, or a form
 
 
 def _node(tag: str, attributes: str) -> Node:
@@ -92,9 +95,10 @@ def _node(tag: str, attributes: str) -> Node:
     style = found.get("style", "").replace(" ", "").lower()
     off = (
         tag in FURNITURE_TAGS or found.get("role", "").lower() in FURNITURE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        or "display:none" in style or (tag not in ("html", "body", *MAIN_TAGS) and bool(words & FURNITURE_WORDS))
+        or "display:none" in style
     )
-    return Node(f"{tag}.{'.'.join(sorted(w for w in words if w and not w.isdigit()))}"[:80], tag, furniture=off)
+    marked = tag == "form" or (tag not in ("html", "body", *MAIN_TAGS) and bool(words & FURNITURE_WORDS))
+    return Node(f"{tag}.{'.'.join(sorted(w for w in words if w and not w.isdigit()))}"[:80], tag, furniture=off, marked=marked)
 
 
 def parse(text: str | None) -> Node:
@@ -146,36 +150,38 @@ def _close(stack: list[Node], tags: set[str], scope: set[str]) -> None:
             return
 
 
-@dataclass
+@dataclass(slots=True)
 class Slot:
-    """A node of the folded tree: its name, folded children, and what the page has there."""
+    """A block element: its name, child blocks, and the texts directly in it."""
 
     name: str
     main: bool
     furniture: bool
+    marked: bool = False
     children: list = field(default_factory=list)
-    texts: list = field(default_factory=list)  # (order, text) of blocks directly here
+    texts: list = field(default_factory=list)  # (order, text)
+    digests: list = field(default_factory=list)  # of the texts
 
-    def digest(self) -> int:
-        """Of all blocks inside but main elements and furniture, in page order."""
-        h = hashlib.blake2b(digest_size=8)
-        for _, t in sorted(self.blocks()):
-            h.update(t.encode("utf-8", "surrogatepass") + b"\n")
-        return int.from_bytes(h.digest(), "little", signed=True)
 
-    def blocks(self):
-        work = [self]
-        while work:
-            own = work.pop()
-            yield from own.texts
-            work += [c for c in own.children if not (c.main or c.furniture)]
+def digest_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def fold(root: Node) -> Slot:
-    """The folded tree of block elements.  Inline elements dissolve; text goes to the nearest block.
+_PATHS: dict[tuple[int, str], int] = {}
+
 
-    Sibling blocks of one name fold into one slot, with all their blocks.
-    """
+def path_of(up: int, name: str) -> int:
+    """The digest of a path of names."""
+    got = _PATHS.get((up, name))
+    if got is None:
+        if len(_PATHS) > 100_000:
+            _PATHS.clear()
+        got = _PATHS[up, name] = digest_of(f"{up}/{name}")
+    return got
+
+
+def fold(root: Node) -> Slot:
+    """The tree of block elements.  Inline elements dissolve; text goes to the nearest block."""
     top = Slot("#", False, False)
     order = 0
 
@@ -188,26 +194,23 @@ def fold(root: Node) -> Slot:
             order += 1
 
     # Each entry: the node's children still to visit, its slot, its buffer of inline text.
-    work = [(iter(root.children), top, [], {})]
+    work = [(iter(root.children), top, [])]
     while work:
-        children, slot, buffer, by_name = work[-1]
+        children, slot, buffer = work[-1]
         for child in children:
             if isinstance(child, str):
                 buffer.append(child)
             elif child.tag in _VOID:
                 if child.tag in ("br", "hr"):
                     flush(slot, buffer)
-            elif child.tag in _BLOCKS or child.furniture:
+            elif child.tag in _BLOCKS or child.furniture or child.marked:
                 flush(slot, buffer)
-                main = slot.main or child.tag in MAIN_TAGS
-                own = by_name.get(child.name)
-                if own is None:
-                    own = by_name[child.name] = Slot(child.name, main, slot.furniture or child.furniture)
-                    slot.children.append(own)
-                work.append((iter(child.children), own, [], {c.name: c for c in own.children}))
+                own = Slot(child.name, slot.main or child.tag in MAIN_TAGS, slot.furniture or child.furniture, child.marked)
+                slot.children.append(own)
+                work.append((iter(child.children), own, []))
                 break
             else:  # inline: its children are read in place, with this block's buffer
-                work.append((iter(child.children), slot, buffer, by_name))
+                work.append((iter(child.children), slot, buffer))
                 break
         else:
             work.pop()
@@ -220,14 +223,32 @@ def tree_match(a: Slot, b: Slot) -> tuple[int, list]:
     """Simple tree matching of two slots of one name: (matched nodes, pairs of matched children with their own pairs)."""
     if a.name != b.name:
         return 0, []
-    left, right = a.children[:MAX_CHILDREN], b.children[:MAX_CHILDREN]
+    left, right = a.children, b.children
+    if not left or not right:
+        return 1, []
+    # Equal leaves at both ends, then leaves of one name at the start: an optimum contains them.
+    head, most = 0, min(len(left), len(right))
+    while head < most and _same(left[head], right[head]):
+        head += 1
+    tail = 0
+    while tail < most - head and _same(left[-1 - tail], right[-1 - tail]):
+        tail += 1
+    while head < most - tail and (x := left[head]).name == (y := right[head]).name and not x.children and not y.children:
+        head += 1
+    ends = [(left[k], right[k], []) for k in range(head)] + [(left[-k], right[-k], []) for k in range(tail, 0, -1)]
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    if not left or not right or len(left) * len(right) > MAX_CELLS:
+        return 1 + len(ends), ends
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     got = {}
     for i, x in enumerate(left):
+        row, up = best[i + 1], best[i]
         for j, y in enumerate(right):
+            most = max(up[j + 1], row[j])
             if x.name == y.name:
-                got[i, j] = tree_match(x, y)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got.get((i, j), (0,))[0])
+                own = got[i, j] = tree_match(x, y)
+                most = max(most, up[j] + own[0])
+            row[j + 1] = most
     pairs, i, j = [], len(left), len(right)
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -237,7 +258,11 @@ def tree_match(a: Slot, b: Slot) -> tuple[int, list]:
         else:
             i, j = i - 1, j - 1
             pairs.append((left[i], right[j], got[i, j][1]))
-    return 1 + best[-1][-1], pairs[::-1]
+    return 1 + len(ends) + best[-1][-1], ends[:head] + pairs[::-1] + ends[head:]
+
+
+def _same(x: Slot, y: Slot) -> bool:
+    return x.name == y.name and not x.children and not y.children and x.digests == y.digests
 
 
 def aligned(page: Slot, reference: Slot, numbers: dict[int, int]):
@@ -250,31 +275,68 @@ def aligned(page: Slot, reference: Slot, numbers: dict[int, int]):
         work += pairs
 
 
-def split_text(page: Slot) -> tuple[str, bool]:
-    """(text of the blocks in main elements, whether there are any), furniture left out."""
-    found, any_main, work = [], False, [page]
+def merge(reference: Slot, page: Slot) -> None:
+    """Add what ``page`` has beyond ``reference`` to it, each node behind the sibling before it."""
+    work = [(reference, page, tree_match(page, reference)[1])]
+    while work:
+        into, own, pairs = work.pop()
+        match = {id(x): (y, inner) for x, y, inner in pairs}
+        place = 0
+        for child in own.children:
+            if id(child) in match:
+                y, inner = match[id(child)]
+                place = next(k for k, c in enumerate(into.children) if c is y) + 1
+                work.append((y, child, inner))
+            else:
+                into.children.insert(place, child)
+                place += 1
+
+
+def _digest_all(page: Slot) -> None:
+    """Digests of all texts outside furniture; furniture is a leaf from now on."""
+    work = [page]
     while work:
         slot = work.pop()
         if slot.furniture:
-            continue
-        if slot.main and slot.texts:
-            any_main = True
-            found += slot.texts
+            slot.children, slot.texts = [], []
+        slot.digests = [digest_of(t) for _, t in slot.texts]
         work += slot.children
-    return "\n".join(t for _, t in sorted(found)), any_main
 
 
-def text_by_template(page: Slot, template: set[int], furniture_paths: frozenset) -> str:
-    """The blocks of a page without a main element, outside template slots (by identity) and furniture, in page order."""
-    found, work = [], [(page, "", False)]
+def _kept(page: Slot, template: set, furniture_paths: frozenset, numbers: dict[int, int]) -> tuple[str, bool]:
+    """(text, whether the page has blocks in main elements)."""
+    blocks, work, any_main = [], [(page, 0, ())], False
     while work:
-        slot, up, off = work.pop()
-        here = f"{up}/{slot.name}"[-240:]
-        off = off or slot.furniture or id(slot) in template or here in furniture_paths
-        if not off:
-            found += slot.texts
-            work += [(c, here, off) for c in slot.children]
-    return "\n".join(t for _, t in sorted(found))
+        slot, up, marks = work.pop()
+        if slot.furniture:
+            continue
+        here = path_of(up, slot.name)
+        if slot.marked:
+            marks = (*marks, id(slot))
+        number = numbers.get(id(slot), -1)
+        any_main = any_main or bool(slot.main and slot.texts)
+        for (order, text), digest in zip(slot.texts, slot.digests or [0] * len(slot.texts), strict=True):
+            if (number, digest) not in template and (here, digest) not in furniture_paths:
+                blocks.append((order, text, slot.main, marks))
+        work += [(c, here, marks) for c in slot.children]
+    if any_main:
+        blocks = [b for b in blocks if b[2]]
+    total, held = sum(len(b[1]) for b in blocks), defaultdict(int)
+    for b in blocks:
+        for mark in b[3]:
+            held[mark] += len(b[1])
+    return "\n".join(b[1] for b in sorted(blocks, key=lambda b: b[0]) if all(2 * held[m] > total for m in b[3])), any_main
+
+
+def split_text(page: Slot) -> tuple[str, bool]:
+    """(text of the blocks in main elements, whether there are any), furniture left out."""
+    text, any_main = _kept(page, set(), frozenset(), {})
+    return text if any_main else "", any_main
+
+
+def text_by_template(page: Slot, template: set, furniture_paths: frozenset, numbers: dict[int, int] | None = None) -> str:
+    """The text of a page without the blocks in ``template`` (slot, digest) and ``furniture_paths`` (path, digest)."""
+    return _kept(page, template, furniture_paths, numbers or {})[0]
 
 
 def host_of(url):
@@ -285,66 +347,66 @@ def host_of(url):
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    described = materialise(rows.select("host", "page_id", "html").mapInArrow(_describe, _DESCRIBED), "wrapper-described")
-    # The reference of a host: its page of the least id.  One description a host.
+    # One description a distinct content, with the hosts that have it; the first of them stands for it among all hosts.
+    contents = materialise(
+        rows.select("host", "html").mapInArrow(_describe, _DESCRIBED)
+        .groupBy("content").agg(F.sort_array(F.collect_set("host")).alias("hosts"), F.first(F.struct("names", "parents", "at", "digests", "cores")).alias("d"))
+        .select("content", F.posexplode("hosts").alias("place", "host"), "d.*").withColumn("tree", F.xxhash64("names", "parents")),
+        "wrapper-contents",
+    )
+    tree = Window.partitionBy("host").orderBy(F.desc("n"), "tree")
     references = materialise(
-        described.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.min(F.struct("page_id", "names", "parents")).alias("first"))
-        .select("host", "n_pages", F.col("first.names").alias("ref_names"), F.col("first.parents").alias("ref_parents")),
+        contents.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("names", "parents", "at", "digests"), "content").alias("d"))
+        .withColumn("k", F.row_number().over(tree)).where(F.col("k") <= REFERENCE_TREES)
+        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "d"))).alias("trees")).mapInArrow(_merged, _REFERENCE),
         "wrapper-references",
     )
-    # Counts of (host, slot, content) over all pages, combined on the map side.
-    seen = described.join(references, "host").select("host", "n_pages", "names", "parents", "digests", "ref_names", "ref_parents").mapInArrow(
-        _slot_counts, "host string, slot int, path string, digest bigint, n bigint"
+    keys = ["host", "slot", "path", "main", "digest"]
+    # Pages of (slot, path, digest), of (-1, path, digest), and of both without a digest.
+    seen = contents.join(references, "host").select("host", "place", "names", "parents", "at", "digests", "cores", *_REF).mapInArrow(_slot_counts, _COUNTS)
+    once = lambda c: F.sum(F.when(F.col("core").isNull(), F.col(c)).otherwise((F.col(c) > 0).cast("bigint"))).alias(c)
+    counts = materialise(
+        seen.groupBy(*keys, "core").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).groupBy(*keys).agg(once("n"), once("firsts")), "wrapper-counts"
     )
-    counts = materialise(seen.groupBy("host", "slot", "path", "digest").agg(F.sum("n").alias("n")), "wrapper-counts")
+    by_path = counts.where("slot = -1")
+    sizes = contents.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    pooled = _constant(by_path.groupBy("path", "main", "digest").agg(F.sum("firsts").alias("n")), ["path"], contents.where("place = 0").agg(F.count(F.lit(1)).alias("n_pages")))
     constant = (
-        counts.where("slot >= 0").groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
-        .where((F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
-        .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))  # at most MAX_SLOTS
+        _constant(counts.drop("firsts"), ["host", "slot", "path"], sizes).unionByName(by_path.join(pooled, ["path", "digest"], "left_semi").select("host", "slot", "path", "digest")).distinct()
+        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "path", "digest"))).alias("constant"))
     )
-    # Descriptions pooled over hosts: pages for each content.  The set is bounded by its limit.
-    pooled = (
-        counts.groupBy("path", "digest").agg(F.sum("n").alias("n"))
-        .groupBy("path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("contents"))
-        .where((F.col("pages") >= POOLED_PAGES) & (F.col("pages") >= POOLED_REPEAT * F.col("contents")))
-        .orderBy(F.desc("pages"), "path").limit(MAX_POOLED).collect()
-    )
-    furniture = frozenset(r["path"] for r in pooled)
-
-    def batch_of(page_ids, urls, texts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(page_ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
-        )
-
-    def settled(batches):
-        for part in _slices(batches):
-            got = [split_text(fold(parse(h))) for h in part.column("html").to_pylist()]
-            kept = [row for row in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), got, strict=True) if row[2][1]]
-            yield batch_of([r[0] for r in kept], [r[1] for r in kept], [r[2][0] for r in kept])
-
-    def unsettled(batches):
-        for part in _slices(batches):
-            yield part.filter(pa.array([not split_text(fold(parse(h)))[1] for h in part.column("html").to_pylist()], pa.bool_()))
 
     def by_template(batches):
         trees = _References()
         for part in _slices(batches):
             texts = []
-            for host, html, names, parents, slots in zip(*(part.column(c).to_pylist() for c in ("host", "html", "ref_names", "ref_parents", "constant")), strict=True):
+            for host, html, constant, *reference in zip(*(part.column(c).to_pylist() for c in ("host", "html", "constant", *_REF)), strict=True):
                 page = fold(parse(html))
-                template = set()
-                if slots:
-                    off = set(slots)
-                    template = {id(own) for own, k in aligned(page, *trees.of(host, names, parents)) if k in off}
-                texts.append(text_by_template(page, template, furniture))
-            yield batch_of(part.column("page_id").to_pylist(), part.column("url").to_pylist(), texts)
-
-    schema = "page_id bigint, url string, text string, n_chars bigint"
-    templates = references.select("host", "ref_names", "ref_parents").join(constant, "host")
-    open_pages = rows.select("page_id", "url", "html", "host").mapInArrow(unsettled, "page_id bigint, url string, html string, host string")
+                if constant is None:
+                    texts.append(text_by_template(page, set(), frozenset()))
+                    continue
+                _digest_all(page)
+                root, numbers, slots, paths = trees.of(host, *reference, constant)
+                own = {id(s): k for s, k in aligned(page, root, numbers)} if slots else {}
+                texts.append(text_by_template(page, slots, paths, own))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
+            )
+
+    templates = materialise(references.join(constant, "host"), "wrapper-templates")
+    return rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "constant", *_REF).mapInArrow(by_template, "page_id bigint, url string, text string, n_chars bigint")
+
+
+def _constant(counts: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
+    """The template blocks among ``counts`` (``by``, main, digest, n); ``sizes`` has n_pages, by host or of all; the row without a digest counts the pages."""
+    n, block, often = F.col("n"), F.col("digest").isNotNull(), F.col("n") >= CONSTANT_PAGES
+    slots = counts.groupBy(*by).agg(
+        F.max(F.when(~block, n)).alias("pages"), F.max(F.when(block, n)).alias("most"), F.sum(F.when(block, n)).alias("all"), F.sum(F.when(block & often, n)).alias("repeated")
+    ).where((F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
+    found = counts.where(block & often).join(slots, by)
     return (
-        rows.select("page_id", "url", "html").mapInArrow(settled, schema)
-        .unionByName(open_pages.join(templates, "host", "left").mapInArrow(by_template, schema))
+        (found.join(sizes, "host") if "host" in by else found.crossJoin(sizes)).where(F.when(F.col("main"), n >= CONSTANT_SHARE * F.col("n_pages")).otherwise((n >= CONSTANT_SHARE * F.col("pages")) | (F.col("repeated") >= REPEATED_SHARE * F.col("all"))))
+        .select(*by, "digest")
     )
 
 
@@ -354,78 +416,121 @@ def _slices(batches, size: int = 256):
             yield batch.slice(at, size)
 
 
-def _flat(slot: Slot) -> tuple[list[str], list[int], list[int | None]]:
-    """Names, parent numbers and digests of a tree in preorder, at most MAX_SLOTS.
-
-    What lies inside furniture and main elements is not described; their digest is null.
-    """
-    names, parents, digests, work = [], [], [], [(slot, -1)]
-    while work and len(names) < MAX_SLOTS:
+def _flat(page: Slot) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Names and parent numbers of a tree in preorder; node number and digest of each block."""
+    names, parents, at, digests, work = [], [], [], [], [(page, -1)]
+    while work:
         own, parent = work.pop()
+        k = len(names)
         names.append(own.name)
         parents.append(parent)
-        digests.append(None if own.main or own.furniture else own.digest())
-        if not (own.main or own.furniture):
-            work += [(c, len(names) - 1) for c in reversed(own.children[:MAX_CHILDREN])]
-    return names, parents, digests
+        digests += own.digests
+        at += [k] * len(own.digests)
+        work += [(c, k) for c in reversed(own.children)]
+    return names, parents, at, digests
 
 
-def _grown(names: list[str], parents: list[int]) -> list[Slot]:
+def _grown(names: list[str], parents: list[int], at: list[int], digests: list[int]) -> list[Slot]:
     """The slots of a described tree in preorder, the root first."""
-    slots = [Slot(n, False, False) for n in names]
-    for k, p in enumerate(parents):
-        if p >= 0:
-            slots[p].children.append(slots[k])
+    slots = []
+    for name, p in zip(names, parents, strict=True):
+        up = slots[p] if p >= 0 else None
+        slots.append(Slot(name, name.partition(".")[0] in MAIN_TAGS or (up is not None and up.main), False))
+        if up is not None:
+            up.children.append(slots[-1])
+    for k, d in zip(at, digests, strict=True):
+        slots[k].digests.append(d)
     return slots
 
 
 class _References:
-    """Trees of the references met, bounded."""
+    """Trees of the references met, with what is template of each, bounded."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[Slot, dict[int, int]]] = {}
+        self.known: dict[str, tuple] = {}
 
-    def of(self, host: str, names: list[str], parents: list[int]):
+    def of(self, host: str, names, parents, at, digests, constant=()):
         got = self.known.get(host)
         if got is None:
             if len(self.known) > 2000:
                 self.known.clear()
-            slots = _grown(names, parents)
-            got = self.known[host] = slots[0], {id(s): k for k, s in enumerate(slots)}
-        return got
+            slots = _grown(names, parents, at, digests)
+            off = [(c["slot"], c["path"], c["digest"]) for c in constant]
+            got = slots[0], {id(s): k for k, s in enumerate(slots)}, {(k, d) for k, _, d in off if k >= 0}, frozenset((p, d) for k, p, d in off if k < 0), slots
+            self.known[host] = got
+        return got[:4]
 
 
-_DESCRIBED = "host string, page_id bigint, names array<string>, parents array<int>, digests array<bigint>"
+_REF = ["ref_names", "ref_parents", "ref_at", "ref_digests"]
+_TREE = "names array<string>, {0}parents array<int>, {0}at array<int>, {0}digests array<bigint>"
+_REFERENCE = "host string, ref_" + _TREE.format("ref_")
+_DESCRIBED = "host string, content binary, " + _TREE.format("") + ", cores array<bigint>"
+_COUNTS = "host string, slot int, path bigint, main boolean, digest bigint, core bigint, n bigint, firsts bigint"
+_TYPES = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
 def _describe(batches):
+    """Descriptions of pages with text; cores are the two longest blocks in main elements."""
     for part in _slices(batches):
-        flat = [_flat(fold(parse(h))) for h in part.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("host"), part.column("page_id"), pa.array([f[0] for f in flat], pa.list_(pa.string())),
-                pa.array([f[1] for f in flat], pa.list_(pa.int32())), pa.array([f[2] for f in flat], pa.list_(pa.int64())),
-            ],
-            ["host", "page_id", "names", "parents", "digests"],
-        )
+        rows = []
+        for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            page = fold(parse(html))
+            _digest_all(page)
+            names, parents, at, digests = flat = _flat(page)
+            if digests:
+                content = hashlib.blake2b(repr((names, parents, at)).encode("utf-8", "surrogatepass") + array("q", digests).tobytes(), digest_size=16).digest()
+                rows.append((host, content, *flat, _cores(page)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        types = [pa.string(), pa.binary(), *_TYPES, pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "content", "names", "parents", "at", "digests", "cores"])
+
+
+def _cores(page: Slot) -> list[int]:
+    found, work = {}, [page]
+    while work:
+        slot = work.pop()
+        if slot.main:
+            found |= {d: len(t) for (_, t), d in zip(slot.texts, slot.digests, strict=True)}
+        work += slot.children
+    return sorted(found, key=lambda d: (-found[d], d))[:2]
+
+
+def _merged(batches):
+    for batch in batches:
+        out = []
+        for host, trees in zip(batch.column("host").to_pylist(), batch.column("trees").to_pylist(), strict=True):
+            first, *rest = (_grown(**t["d"])[0] for t in trees)
+            for other in rest:
+                merge(first, other)
+            out.append((host, *_flat(first)))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *_TYPES], strict=True)], ["host", *_REF])
 
 
 def _slot_counts(batches):
-    """Counts of (host, slot, path, digest) in each batch; slot -1 without a match."""
+    """Distinct page contents of each key in a batch, and those that stand for their content; core is null outside main elements."""
     trees = _References()
     for part in _slices(batches, 1024):
-        counts: dict[tuple, int] = defaultdict(int)
-        for host, n_pages, names, parents, digests, ref_names, ref_parents in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            slots = _grown(names, parents)
-            matched = {id(own): k for own, k in aligned(slots[0], *trees.of(host, ref_names, ref_parents))} if n_pages > 1 else {}
-            paths = []
-            for slot, parent, digest in zip(slots, parents, digests, strict=True):
-                paths.append(f"{paths[parent] if parent >= 0 else ''}/{slot.name}"[-240:])
-                if digest is not None:
-                    counts[host, matched.get(id(slot), -1), paths[-1], digest] += 1
+        counts: dict[tuple, list[int]] = {}
+        for host, place, names, parents, at, digests, cores, *reference in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            slots = _grown(names, parents, at, digests)
+            root, numbers = trees.of(host, *reference)[:2]
+            matched = {id(own): k for own, k in aligned(slots[0], root, numbers)}
+            paths, keys = [], set()
+            for slot, parent in zip(slots, parents, strict=True):
+                path = path_of(paths[parent] if parent >= 0 else 0, slot.name)
+                paths.append(path)
+                if slot.digests:
+                    number = matched.get(id(slot), -1)
+                    keys |= {(host, number, path, slot.main, None, None), (host, -1, path, slot.main, None, None)}
+                    for d in slot.digests:
+                        core = next((c for c in cores if c != d), 0) if slot.main else None
+                        keys |= {(host, number, path, slot.main, d, core), (host, -1, path, slot.main, d, core)}
+            for key in keys:
+                own = counts.setdefault(key, [0, 0])
+                own[0] += 1
+                own[1] += place == 0
         if counts:
-            keys = list(zip(*counts, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(keys[3], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                ["host", "slot", "path", "digest", "n"],
-            )
+            columns = [*zip(*counts, strict=True), *zip(*counts.values(), strict=True)]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["host", "slot", "path", "main", "digest", "core", "n", "firsts"])

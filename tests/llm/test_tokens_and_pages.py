@@ -141,3 +141,23 @@ def test_registration_and_pipeline(spark):
     empty = docs.where("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def extracted(spark, pages):
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    got = html_wrapper.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def words(i, n=12):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_template_decides_inside_main_elements(spark):
+    page = "<body><article><h1>T{0}</h1><p>{1}</p>{2}<p>Share this page</p><div class=terms>All rights</div></article></body>"
+    pages = [("http://a/", page.format(i, words(i), "".join(f"<p>more {i} {k}</p>" for k in range(i % 3)))) for i in range(12)]
+    # Near copies at a host are one page, so what they share is text.
+    near = [("http://b/", f"<main><h2>N</h2><p>{words(99)}</p><p>a shared line</p><p>edit {i}</p></main>") for i in range(6)]
+    got = extracted(spark, pages + near)
+    assert got[:12] == ["\n".join([f"T{i}", words(i), *(f"more {i} {k}" for k in range(i % 3))]) for i in range(12)]
+    assert got[12:] == [f"N\n{words(99)}\na shared line\nedit {i}" for i in range(6)]
