@@ -161,3 +161,13 @@ def test_template_decides_inside_main_elements(spark):
     got = extracted(spark, pages + near)
     assert got[:12] == ["\n".join([f"T{i}", words(i), *(f"more {i} {k}" for k in range(i % 3))]) for i in range(12)]
     assert got[12:] == [f"N\n{words(99)}\na shared line\nedit {i}" for i in range(6)]
+
+
+def test_copies_count_once(spark):
+    page = "<html><body>{0}<div class=x>{1}</div></body></html>"
+    same, others = page.format("loose", "copied text"), [page.format(f"own {i}", f"text {i}") for i in range(2)]
+    got = extracted(spark, [("http://c/", h) for h in [same] * 3 + others])
+    assert got == ["loose\ncopied text"] * 3 + [f"own {i}\ntext {i}" for i in range(2)]
+    # Copies on many hosts, and no page of the pool is a template of another.
+    mirrors = [(f"http://m{i}/", page.format("", f"news {i % 5}")) for i in range(40)]
+    assert extracted(spark, mirrors) == [f"news {i % 5}" for i in range(40)]
