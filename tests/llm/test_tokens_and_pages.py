@@ -171,3 +171,10 @@ def test_copies_count_once(spark):
     # Copies on many hosts, and no page of the pool is a template of another.
     mirrors = [(f"http://m{i}/", page.format("", f"news {i % 5}")) for i in range(40)]
     assert extracted(spark, mirrors) == [f"news {i % 5}" for i in range(40)]
+
+
+def test_marks_of_wrappers_are_no_furniture(spark):
+    inner = "<article><p>{0}</p></article>"
+    marks = ["<div class='with-sidebar'>{0}</div>", "<div class='has-header'>{0}</div>", "<section class='no-comments'>{0}</section>", "<div id='share-page'>{0}</div>", "<form>{0}</form>"]
+    pages = [(f"http://d{k}/", f"<body>{m.format(i.format(words(k)))}<div class=related>see x</div></body>") for k, m in enumerate(marks) for i in (inner, "<p>{0}</p>")]
+    assert extracted(spark, pages) == [words(k) for k in range(len(marks)) for _ in range(2)]
