@@ -178,3 +178,14 @@ def test_marks_of_wrappers_are_no_furniture(spark):
     marks = ["<div class='with-sidebar'>{0}</div>", "<div class='has-header'>{0}</div>", "<section class='no-comments'>{0}</section>", "<div id='share-page'>{0}</div>", "<form>{0}</form>"]
     pages = [(f"http://d{k}/", f"<body>{m.format(i.format(words(k)))}<div class=related>see x</div></body>") for k, m in enumerate(marks) for i in (inner, "<p>{0}</p>")]
     assert extracted(spark, pages) == [words(k) for k in range(len(marks)) for _ in range(2)]
+
+
+def test_siblings_are_slots_of_their_own(spark):
+    page = "<body><div>Menu</div><div>{0}</div><div>Footer</div></body>"
+    assert extracted(spark, [("http://e/", "")] + [("http://e/", page.format(words(i))) for i in range(5)]) == ["", *(words(i) for i in range(5))]
+    # Beyond the former caps: many children before the text, and a template that the first page lacks.
+    row = "".join(f"<div>Link {k}</div>" for k in range(90))
+    deep = [("http://f/", f"<body>{row if i else ''}<div class=q>{words(i)}</div><div class=z>Last</div></body>") for i in range(6)]
+    assert extracted(spark, deep) == [words(i) for i in range(6)]
+    long = "".join(f"<ul><li>Item {k}</li></ul>" for k in range(450))
+    assert extracted(spark, [("http://g/", f"<body>{long}<p>{words(i)}</p></body>") for i in range(4)]) == [words(i) for i in range(4)]
