@@ -282,6 +282,18 @@ def graph_callees(spark, sf_dir):
     return hits.select("symbol", "callee", "definition_id", F.col("call_site.byte_start").alias("site"), "definition_count", "resolved")
 
 
+# Both kinds of calls: a part's name has many definitions, so a site gives a row for each, unresolved.
+@_query(f"""WITH {_GRAPH}, e AS (
+    SELECT l_orderkey AS o, l_linenumber AS site, s_name AS callee FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+    UNION ALL SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT 'order_' || o AS symbol, callee, c.path || c.a AS definition_id, site::BIGINT AS site, definition_count, definition_count = 1 AS resolved
+FROM e JOIN orders ON o_orderkey = o JOIN chunks c ON c.symbol = callee JOIN defs d ON d.symbol = callee""")
+def graph_callees_all(spark, sf_dir):
+    chunks, edges = _graph(spark, sf_dir, True)
+    hits = graph.callees(chunks, edges, chunks.select("symbol"))
+    return hits.select("symbol", "callee", "definition_id", F.col("call_site.byte_start").alias("site"), "definition_count", "resolved")
+
+
 @_query(f"WITH {_GRAPH} SELECT symbol, definition_count, definition_count = 1 AS resolved FROM defs")
 def symbol_ambiguity(spark, sf_dir):
     return graph.definitions(_graph(spark, sf_dir, False)[0])

@@ -35,3 +35,15 @@ def test_query_equals_sql(spark, views, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert rows_of(got, columns) == rows_of(want, columns)
+
+
+def test_callees_of_both_kinds(spark, views):
+    """Every site has a row for each definition of its supplier and of its part, found by brute force."""
+    names = views.execute("SELECT p_partkey, p_name FROM part").fetchall()
+    named, count = dict(names), {}
+    for _, name in names:
+        count[name] = count.get(name, 0) + 1
+    calls = views.execute("SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey").fetchall()
+    got = registry.QUERIES["graph_callees_all"](spark, SF).toPandas()
+    assert len(got) == len(calls) + sum(count[named[k]] for (k,) in calls)
+    assert (got["resolved"] == (got["definition_count"] == 1)).all() and set(got["resolved"]) == {True, False}
