@@ -142,7 +142,8 @@ def hopeful_rows(bitmaps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
 
 
 def _hash_pass(documents: DataFrame) -> DataFrame:
-    """One row per document (kind 0), and rows of frequent shingles of each chunk (kind 1)."""
+    """One row per document (kind 0), and rows of frequent shingles of each chunk (kind 1); bigints beyond doc_id and text are kept."""
+    more = [c for c in documents.columns if c not in ("doc_id", "text")]
 
     def run(batches):
         seen = _WordHashes()
@@ -152,11 +153,11 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= LOCAL_COUNT
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))), pa.array([keys[keep].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[keep].tolist()], pa.list_(pa.int64()))],
+                [*(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))), pa.array([keys[keep].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([counts[keep].tolist()], pa.list_(pa.int64())), *(pa.nulls(1, pa.int64()) for _ in more)],
                 names,
             )
 
-        names = ["doc_id", "n", "k1", "k2", "bits", "sig", "hot", "hot_n"]
+        names = ["doc_id", "n", "k1", "k2", "bits", "sig", "hot", "hot_n", *more]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -166,6 +167,7 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([bitmap_of(s) for s in sets], pa.binary()), pa.array([s[:SIGNATURES].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.list_(pa.int64())),
+                        *(part.column(c) for c in more),
                     ],
                     names,
                 )
@@ -177,7 +179,7 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return documents.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits binary, sig array<bigint>, hot array<bigint>, hot_n array<bigint>")
+    return documents.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bits binary, sig array<bigint>, hot array<bigint>, hot_n array<bigint>" + "".join(f", {c} bigint" for c in more))
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -496,9 +498,14 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies) for every row of ``documents``."""
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _placed(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+def _placed(documents: DataFrame) -> DataFrame:
+    """As near_duplicates, with the further columns of ``documents`` and the component itself (null without shingles), whatever its ids."""
+    more = [c for c in documents.columns if c not in ("doc_id", "text")]
     hashed = materialise(_hash_pass(documents), "ngram-hashed")
-    rows = hashed.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "sig", "bits")
+    rows = hashed.where(F.col("n").isNotNull()).select("doc_id", "n", "k1", "k2", "sig", "bits", *more)
     hot = hashed.where(F.col("n").isNull()).select(F.explode(F.arrays_zip("hot", "hot_n")).alias("e")).select(F.col("e.hot").alias("h"), F.col("e.hot_n").alias("hn"))
     classes = materialise(
         rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("bits").alias("bits"))
@@ -511,19 +518,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     joined = components(_column_blocks(labelled, documents, hot, (n_shingles or 0) // DEN + n_docs), "la", "lb")
     placed = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialise(placed.join(least, "component").select("k1", "k2", "component_id", "n_copies"), "ngram-named")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("n_copies"))
-    return rows.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies").unionByName(alone)
+    named = materialise(placed.join(least, "component").select("k1", "k2", "component", "component_id", "n_copies"), "ngram-named")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(None).cast("bigint").alias("component"), *more)
+    return rows.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "component", *more).unionByName(alone)
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` without those that another row of their component stands for.
 
-    The row with the component's id stays.  Of rows that repeat this id one stays, the
-    least by its columns; rows without any id in their component all stay.
+    Of each component one row stays: among the rows with the component's id one of the text of
+    least hash, and of these the least by its columns.  Rows that share an id but not a
+    component are no copies of each other.  Rows without shingles are copies only under one
+    id.  Rows without an id all stay.
     """
-    found = near_duplicates(documents)
-    stays = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    nameless = documents.where(F.col("doc_id").isNull())
-    kept = documents.join(stays, F.col("doc_id").cast("bigint") == F.col("stay_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(nameless)
+    columns, key = documents.columns, ["doc_id", "_t1", "_t2"]
+    keyed = documents.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
+    found = _placed(keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_t1", "_t2"))
+    least = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component", "component_id").agg(F.min(F.struct(*key)).alias("least"))
+    stays = least.select(F.col("least.doc_id").alias("stay_id"), F.col("least._t1").alias("_s1"), F.col("least._t2").alias("_s2"))
+    same = (F.col("doc_id").cast("bigint") == F.col("stay_id")) & (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2"))
+    kept = keyed.join(stays, same, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.unionByName(documents.where(F.col("doc_id").isNull()))

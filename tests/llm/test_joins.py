@@ -73,6 +73,14 @@ def test_ngram_join_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["5", "7", "None", "None", "None"]
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    one, two, three = ("a b c d e f g h", "q r s t u v w x", "k l m n o p y z")
+    rows = [(5, one, 3), (5, two, 1), (5, one, 2), (6, one, 0), (8, two, 0), (9, three, 7), (9, None, 4), (9, "", 5)]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, k int").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"], r["k"]) for r in kept if r["text"]) == [(5, one, 2), (5, two, 1), (9, three, 7)]
+    assert sum(not r["text"] for r in kept) == 1
+
+
 def test_bitmap_bound_never_rules_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(400):
