@@ -1,21 +1,22 @@
 """Sharding: vector bin packing of groups of equal texts, balancing bytes, tokens and rows jointly.
 
 Law ``bytes``: shard sizes near equal, where a row's size is the UTF-8 bytes of its text
-plus 16.  Rows with equal text form a group and go to one shard together, unless the group
-is heavier than ``1 / SPLIT`` of a shard: such a hot group is dealt in chunks of about that
-weight, by a hash of its rows' ids.  Heavy groups (chunks included) are single items; the
-many light groups are first dealt by their text's hash to a fixed number of bundles, each an
+plus 16.  Rows with equal text form a group and go to one shard together.  Only a group that
+is heavier than a whole shard, which no balance can hold, is dealt in as few equal chunks as
+fit a shard each, by a hash of its rows' ids.  Heavy groups (chunks included) are single items;
+the many light groups are first dealt by their text's hash to a fixed number of bundles, each an
 item.  The number of items so has a bound that does not grow with the input, and only
-their three sums reach the driver.  Items go in falling order of size, each to the shard where the
-weighted dot product of its vector (bytes, tokens, rows, as shares of a shard's capacity)
-with the shard's residual capacity is highest.
+their three sums reach the driver.  Items go in falling order of size, each to the shard, of
+those whose residual bytes hold it, where the dot product of its vector (bytes, tokens, rows,
+as shares of a shard's capacity) with the shard's residual capacity is highest.
 
 Within a shard, slots count from 0 without a gap.  They follow (bucket, hash, doc_id): rows
 are numbered inside small buckets and shifted by the sizes of the buckets before, so no
 task sorts a whole shard.
 
 Edge cases: a null text counts as empty (size 16, crc32 0).  Null ids, repeated ids and
-repeated rows are kept, one output row each.  An empty table gives no rows.  Only
+repeated rows are kept, one output row each; rows without an id are spread by their place in
+the table.  An empty table gives no rows.  Only
 ``doc_id`` and ``text`` are read.
 """
 
@@ -32,27 +33,26 @@ from ._common import materialise
 ROW_OVERHEAD = 16
 #: Bundles of light groups for each shard; items of heavy groups number at most twice as many.
 BUNDLES_PER_SHARD = 128
-#: A group heavier than a shard's capacity over this is dealt in chunks.
-SPLIT = 16
 #: Rows of a bucket in which slots are numbered.
 BUCKET_ROWS = 4000
-#: Weights of bytes, tokens and rows in the dot product: the law is on bytes.
-WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item (n x 3 non-negative sums), by dot product with the residual capacity.
 
-    Items go in falling order of their largest share.  Ties go to the lower shard.  A full
-    shard has negative residuals, which lower its product, so it is only refilled when all
-    others are fuller.
+    Items go in falling order of their largest share.  As the law is on bytes, an item goes to
+    a shard whose residual bytes hold it; where none does, to the one with most of them.  Ties
+    go to the lower shard.
     """
     capacity = np.maximum(items.sum(axis=0) / shards, 1e-9)
     share = items / capacity
     residual = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), dtype=np.int64)
     for i in np.argsort(-share.max(axis=1), kind="stable"):
-        best = int(np.argmax(residual @ (WEIGHTS * share[i])))
+        dot = np.where(residual[:, 0] >= share[i, 0], residual @ share[i], -np.inf)
+        best = int(np.argmax(dot))
+        if dot[best] == -np.inf:
+            best = int(np.argmax(residual[:, 0]))
         out[i] = best
         residual[best] -= share[i]
     return out
@@ -70,6 +70,7 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h1"),
             F.hash(text, F.lit(9)).alias("h2"),
+            F.coalesce(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id()).alias("spread"),
         ),
         "shard-rows",
     )
@@ -77,7 +78,7 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     if not total[1]:
         return _result(rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint")}))
     capacity = total[0] / shards
-    heavy_from, chunk = capacity / BUNDLES_PER_SHARD, capacity / SPLIT
+    heavy_from = capacity / BUNDLES_PER_SHARD
 
     key = ["h1", "h2", "text_crc32"]
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("n").alias("n")]
@@ -86,11 +87,11 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     heavy = {(r["h1"], r["h2"], r["text_crc32"]): r for r in groups.where(F.col("size") >= heavy_from).collect()}
     n_bundles = shards * BUNDLES_PER_SHARD
     heavy_df = spark.createDataFrame(
-        [(*k, max(1, math.ceil(r["size"] / chunk))) for k, r in heavy.items()], "h1 bigint, h2 int, text_crc32 bigint, chunks int"
+        [(*k, max(1, math.ceil(r["size"] / capacity))) for k, r in heavy.items()], "h1 bigint, h2 int, text_crc32 bigint, chunks int"
     )
     salted = rows.join(F.broadcast(heavy_df), key, "left")
     part = F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("h1", "h2"), F.lit(n_bundles))).otherwise(
-        F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("chunks"))
+        F.pmod(F.xxhash64("spread", F.lit(5)), F.col("chunks"))
     )
     # An item: (bundle number) or (heavy group, chunk number).
     item = F.struct(
@@ -106,11 +107,11 @@ def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     )
     dealt = salted.withColumn("item", item).alias("l").join(
         F.broadcast(placed), F.expr("l.item.a <=> a AND l.item.b <=> b AND l.item.d <=> d AND l.item.c = c")
-    ).select("doc_id", "size", "text_crc32", "shard")
+    ).select("doc_id", "size", "text_crc32", "spread", "shard")
 
     buckets = max(1, math.ceil(total[1] / shards / BUCKET_ROWS))
     dealt = materialise(
-        dealt.withColumn("draw", F.xxhash64("doc_id", "text_crc32", F.lit(7))).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int")), "shard-dealt"
+        dealt.withColumn("draw", F.xxhash64("spread", "text_crc32", F.lit(7))).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int")), "shard-dealt"
     )
     before = F.sum("rows_here").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows_here")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("start"))

@@ -143,7 +143,8 @@ def shard(spark, rows, shards=4):
 def test_sharding_law_slots_and_groups(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(words(rng, rng.randrange(1, 80))), "clash") for i in range(2000)]
-    rows += [(10_000 + i, "hot text of some words", "clash") for i in range(1500)] + [(20_000 + i, rows[0][1], "clash") for i in range(3)] + [(None, None, None), (5, None, "x"), (5, None, "x")]
+    # One group within a shard's capacity, one above it.
+    rows += [(30_000 + i, "warm text of some words", "clash") for i in range(1500)] + [(40_000 + i, "hot text of some words", "clash") for i in range(6000)] + [(20_000 + i, rows[0][1], "clash") for i in range(3)] + [(None, None, None), (5, None, "x"), (5, None, "x")]
     got = shard(spark, rows)
     assert len(got) == len(rows) and {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
     import zlib
@@ -151,15 +152,61 @@ def test_sharding_law_slots_and_groups(spark):
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
     counts = [sum(r["shard"] == s for r in got) for s in range(4)]
-    assert max(sizes) / min(sizes) < 1.02 and max(counts) / min(counts) < 1.1
+    assert max(sizes) / min(sizes) < 1.02
     for s in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
     assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(rows[0][1].encode())}) == 1
-    assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"hot text of some words")}) > 1
+    assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"warm text of some words")}) == 1
+    hot = [r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"hot text of some words")]
+    assert len(set(hot)) == 2 and min(hot.count(s) for s in set(hot)) > 2700
     assert shard(spark, []) == []
     assert [(r["size"], r["slot"]) for r in shard(spark, [(1, "", "")])] == [(16, 0)]
 
 
+def brute_place(items, shards):
+    """The placement by its definition: largest share first, to the highest dot product where the bytes fit."""
+    total = [sum(x[j] for x in items) for j in range(3)]
+    capacity = [max(t / shards, 1e-9) for t in total]
+    share = [[x[j] / capacity[j] for j in range(3)] for x in items]
+    left, out = [[1.0] * 3 for _ in range(shards)], [None] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(share[i]), i)):
+        fits = [k for k in range(shards) if left[k][0] >= share[i][0]]
+        value = (lambda k: sum(a * b for a, b in zip(share[i], left[k], strict=True))) if fits else (lambda k: left[k][0])
+        out[i] = max(fits or range(shards), key=lambda k: (round(value(k), 12), -k))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], share[i], strict=True)]
+    return out
+
+
+def test_placement_equals_its_definition():
+    rng = np.random.default_rng(8)
+    for n, shards in ((0, 3), (1, 3), (40, 3), (300, 7)):
+        items = rng.integers(0, 900, (n, 3)).astype(float) + rng.random((n, 3))
+        assert sharding.place(items, shards).tolist() == brute_place(items.tolist(), shards)
+    assert sharding.place(np.zeros((5, 3)), 4).tolist() == [0] * 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_groups_that_fit_a_shard_stay_whole(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = sharding.shard_documents(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    capacity, size, where = sum(r["size"] for r in got) / 40, {}, {}
+    for r in got:
+        key = r["text"] or ""
+        size[key] = size.get(key, 0) + r["size"]
+        where.setdefault(key, set()).add(r["shard"])
+    assert all(len(where[k]) <= max(1, -(-size[k] // capacity)) for k in size)
+    assert all(len(where[k]) == 1 for k in size if size[k] <= capacity)
+    if sf == "sf0.01":
+        shards = [sum(r["size"] for r in got if r["shard"] == s) for s in range(40)]
+        assert max(shards) / capacity < 1.05 and min(shards) / capacity > 0.95
+
+
+def test_rows_without_an_id_are_spread(spark):
+    got = shard(spark, [(None, "one text of all rows", "x")] * 4000, 4)
+    assert all(800 < sum(r["shard"] == s for r in got) < 1200 for s in range(4))
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got))) for s in range(4))
+
+
 def mixed(docs, **more):
     return mixing.mix(docs, **more).select("doc.doc_id", "source", "tokens", "epoch", "block", "place").collect()
 
