@@ -2,9 +2,13 @@
 
 Each map task tokenizes its documents, cuts only those longer than a sequence, and packs
 its pieces best-fit in falling length.  Sequences that are nearly full are done.  Underfull
-ones are items of the next round: they are dealt to groups of bounded size, packed best-fit
-again, and so on up the tree until one group is left.  What is sent up is one row for each
-underfull sequence; the moves of all rounds are composed and joined to the pieces once.
+ones are items of the next round: they are dealt to groups of about ``GROUP_ITEMS``, packed
+best-fit again, and so on up the tree until one group is left.  No two sequences that best-fit
+leaves in a group fit together, so at most one of them is half full or less, and only such a
+one can still join another: a group sends up its half-full one and its emptiest
+``1 / NARROWING`` as receivers, and the rest is done.  So every round has an eighth of the
+groups of the one before, and no task more than a group's items, whether or not anything
+merged.  The moves of all rounds are composed and joined to the pieces once.
 
 Edge cases: a null or empty text has the end id alone.  Null and repeated ids and repeated
 rows are packed like any row.  Text of any length is cut into full pieces, so no piece is
@@ -28,6 +32,8 @@ from .tokenize import WordTokenizer, tokenizer_path
 NEARLY_FULL = 8
 #: Underfull sequences of a group in the tree.
 GROUP_ITEMS = 50_000
+#: A group sends at most 1 / NARROWING of GROUP_ITEMS up the tree, and one more.
+NARROWING = 8
 #: Pieces that a map task holds before it packs them.
 LOCAL_ITEMS = 100_000
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, bin bigint, offset bigint, fill bigint"
@@ -99,7 +105,8 @@ def _local(documents: DataFrame, capacity: int, end_id: int, tokenizer: str) ->
 
 
 def _merge(items: DataFrame, groups: int, capacity: int) -> DataFrame:
-    """One round: (bin, fill) to (bin, new_bin, shift, new_fill), best-fit inside each of ``groups``."""
+    """One round: (bin, fill) to (bin, new_bin, shift, new_fill, up), best-fit inside each of ``groups``; ``up``: a sequence for the next round."""
+    most = max(1, GROUP_ITEMS // NARROWING)
 
     def run(batches):
         bins, fills = [], []
@@ -115,24 +122,24 @@ def _merge(items: DataFrame, groups: int, capacity: int) -> DataFrame:
         name = np.zeros(len(total), dtype=np.int64)
         name[to[::-1]] = bin_[::-1]  # a merged sequence takes its first member's number
         if len(bin_):
-            yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(name[to]), pa.array(shift), pa.array(total[to])], ["bin", "new_bin", "shift", "new_fill"])
+            goes = np.zeros(len(total), dtype=bool)
+            goes[np.argsort(total, kind="stable")[: most + 1]] = True  # the half-full one, if any, comes first
+            goes &= total < capacity - NEARLY_FULL
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bin_), pa.array(name[to]), pa.array(shift), pa.array(total[to]), pa.array(goes[to] & (name[to] == bin_))], ["bin", "new_bin", "shift", "new_fill", "up"]
+            )
 
-    return items.repartition(groups, "bin").mapInArrow(run, "bin bigint, new_bin bigint, shift bigint, new_fill bigint")
+    return items.repartition(groups, "bin").mapInArrow(run, "bin bigint, new_bin bigint, shift bigint, new_fill bigint, up boolean")
 
 
-def pack(documents: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    pieces = materialise(_local(documents, capacity, end_id, tokenizer or tokenizer_path()), "pack-pieces")
-    underfull = F.col("fill") < capacity - NEARLY_FULL
-    items = pieces.where(underfull & (F.col("offset") == 0)).select("bin", "fill")
+def tree(items: DataFrame, capacity: int) -> DataFrame | None:
+    """(bin, new_bin, shift) of the sequences ``items`` (bin, fill) after all rounds; None without items."""
     moves, groups = None, 0
     while groups != 1:
         count = items.count()
         if not count:
             break
-        # Each round at most a quarter of the groups of the one before, so the tree ends.
-        wanted = -(-count // GROUP_ITEMS)
-        groups = wanted if not groups else max(1, min(wanted, groups // 4))
+        groups = -(-count // GROUP_ITEMS) if not groups else min(-(-count // GROUP_ITEMS), groups - 1)
         made = materialise(_merge(items, groups, capacity), "pack-moves")
         if moves is None:
             moves = made.select("bin", "new_bin", "shift")
@@ -144,7 +151,16 @@ def pack(documents: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer:
                 ),
                 "pack-composed",
             )
-        items = made.where((F.col("bin") == F.col("new_bin")) & (F.col("new_fill") < capacity - NEARLY_FULL)).select("bin", F.col("new_fill").alias("fill"))
+        items = made.where("up").select("bin", F.col("new_fill").alias("fill"))
+    return moves
+
+
+def pack(documents: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
+    pieces = materialise(_local(documents, capacity, end_id, tokenizer or tokenizer_path()), "pack-pieces")
+    underfull = F.col("fill") < capacity - NEARLY_FULL
+    items = pieces.where(underfull & (F.col("offset") == 0)).select("bin", "fill")
+    moves = tree(items, capacity)
     if moves is None:
         placed = pieces.withColumns({"new_bin": F.lit(None).cast("bigint"), "shift": F.lit(None).cast("bigint")})
     else:

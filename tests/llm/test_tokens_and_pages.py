@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import html_wrapper, packing, pfor, queries, token_files
 from siltstone.llm.tokenize import WordTokenizer, tokenizer_path
@@ -90,6 +91,55 @@ def test_best_fit_takes_the_tightest_bin():
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8] and fills.tolist() == [10, 10]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_equals_its_definition(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 120))
+    lengths = rng.integers(1, capacity + 1, rng.integers(0, 400))
+    bins, offsets, fills = packing.best_fit(lengths, capacity)
+    free = []
+    for size in sorted(lengths.tolist(), reverse=True):
+        fits = [k for k, f in enumerate(free) if f >= size]
+        k = min(fits, key=lambda k: free[k]) if fits else len(free)
+        if not fits:
+            free.append(capacity)
+        free[k] -= size
+    assert sorted(fills.tolist()) == sorted(capacity - f for f in free)
+    for k in range(len(fills)):
+        own = sorted(zip(offsets[bins == k].tolist(), lengths[bins == k].tolist(), strict=True))
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) == fills[k]
+    assert all(a + b > capacity for i, a in enumerate(fills) for b in fills[:i])
+
+
+def test_no_round_gathers_what_cannot_pair(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 5000)
+    rounds, merge = [], packing._merge
+    monkeypatch.setattr(packing, "_merge", lambda items, groups, capacity: rounds.append((items.count(), groups)) or merge(items, groups, capacity))
+    # Sequences that cannot pair, and one small one for each 50,000 that can.
+    items = spark.range(200_000).select(F.col("id").alias("bin"), F.when(F.col("id") % 50_000 == 7, 100).otherwise(1100).cast("bigint").alias("fill"))
+    moves = packing.tree(items, 2048)
+    assert len(rounds) > 1 and rounds[-1][1] == 1 and all(count <= 1.01 * packing.GROUP_ITEMS * groups for count, groups in rounds)
+    assert moves.count() == 200_000 and moves.select("new_bin").distinct().count() == 200_000 - 4
+    assert packing.tree(items.where("false"), 2048) is None
+
+
+def test_rounds_leave_about_one_half_full_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 200)
+    rng = np.random.default_rng(3)
+    fills = rng.integers(1, 1500, 6000)
+    items = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fills)], "bin bigint, fill bigint").repartition(5)
+    moves, total, spans = packing.tree(items, 2048).collect(), {}, {}
+    for r in moves:
+        total[r["new_bin"]] = total.get(r["new_bin"], 0) + int(fills[r["bin"]])
+        spans.setdefault(r["new_bin"], []).append((r["shift"], int(fills[r["bin"]])))
+    assert len(moves) == 6000 and max(total.values()) <= 2048
+    for own in spans.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist()
+    assert sum(2 * t <= 2048 for t in total.values()) <= 1
+    assert len(total) <= 1.02 * len(packing.best_fit(fills, 2048)[2])
+
+
 def test_tree_matching_and_blocks():
     page = html_wrapper.fold(html_wrapper.parse("<body><nav>m</nav><div class=a>x<p>y</div><article><h1>T &amp; &eacute;</h1><p>a  b<br>c<p><b>d</b>e<ul><li>f<li>g</ul></article><footer>z"))
     assert html_wrapper.split_text(page) == ("T & é\na b\nc\nde\nf\ng", True)
