@@ -104,15 +104,15 @@ def test_components_of_a_path_and_a_star(spark):
 
 
 def brute_topk(rows, k):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]
-            good[i] = min(good.get(i, ints), ints)
+            good.append((i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]))
     out = []
-    for q in (i for i in good if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(good[q], v, strict=False)), i) for i, v in good.items() if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    for at, (q, own) in enumerate(good):
+        if q % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for j, (i, v) in enumerate(good) if j != at)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -123,11 +123,50 @@ def test_topk_equals_brute_force(spark, blocks, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=6).round(2)]) for i in range(0, 1500, 5)]
     rows += [(10001 + i, [0.5] * 6) for i in range(40)] + [(10100, [0.5] * 6), (10200, None), (10300, [float("nan")] * 6), (10400, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (10500, [float("inf")] * 6), (None, [1.0] * 6), (10600, [3.0, 1.0]), (10700, []), (0, rows[0][1])]
+    rows += [(200, [0.25] * 6), (7, rows[1][1]), (7, rows[1][1]), (10800, [0.0] * 6), (10900, [900.0, 0.0, -3.0, 0.0, 0.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
     got = topk_voronoi.exact_topk(table, F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, got)) == brute_topk(rows, 10)
 
 
+def clustered(seed, clusters=40, each=30, width=16, spread=0.03):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width)) * rng.choice([0.5, 1, 4], (clusters, 1))
+    return [(c * each + i, [float(x) for x in centres[c] + rng.normal(scale=spread, size=width)]) for c in range(clusters) for i in range(each)]
+
+
+def test_bounds_prune_clustered_vectors(spark):
+    rows = clustered(1)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    result, routed, n_cells = topk_voronoi._join(table, F.col("vec_id") % 20 == 0, 10, 1024, "vec_id", "embedding", 60)
+    n_queries, met = sum(i % 20 == 0 for i, _ in rows), routed.collect()  # of all pairs, not a third
+    assert len(met) == len(set(met)) and len(met) < 0.35 * n_queries * n_cells
+    good = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for q, own in good:
+        if q % 20 == 0:
+            scores = sorted((-int(np.dot(own, v)), i) for i, v in good if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:10])]
+    assert sorted(map(tuple, result.collect())) == sorted(want)
+
+
+def test_no_row_scores_above_its_cell():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        x, pivots = rng.integers(-900, 900, (60, 5)).astype(float), rng.integers(-900, 900, (4, 5)).astype(float)
+        own = ((x[:, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1)
+        summary = []
+        for c in np.unique(own):
+            v, u = x[own == c], pivots[c] / max(np.linalg.norm(pivots[c]), 1e-300)
+            along = v @ u
+            summary.append({"cell": c * topk_voronoi.RINGS, "n": len(v), "nq": 0, "far": np.linalg.norm(v - pivots[c], axis=1).max(), "norm": np.linalg.norm(v, axis=1).max(), "low": along.min(), "high": along.max(), "across": np.linalg.norm(v - along[:, None] * u, axis=1).max()})
+        cells = topk_voronoi.Cells(pivots, summary)
+        q = rng.normal(scale=500, size=(8, 5))
+        most = cells.bound(q, cells.middle(q))
+        for k, r in enumerate(summary):
+            assert ((q @ x[own == r["cell"] // topk_voronoi.RINGS].T).max(axis=1) <= most[:, k]).all()
+
+
 def test_topk_small_tables(spark):
     table = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     assert topk_voronoi.exact_topk(table([]), F.col("vec_id") % 100 == 0).count() == 0
