@@ -2,7 +2,7 @@
 
 Each step replaces a node's edges by edges to the least node it knows.  Minima are
 aggregated with map-side combining and joined back, so a hub's neighbours never meet in one
-task, and each round is written to the shared folder.
+task, and each round is written to the shared folder.  Rounds go on until one changes nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import discard, materialise
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -29,19 +29,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return made.where("hi > lo").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge between different nodes; the component is its least node."""
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     edges = materialise(edges, "cc")
-    state = _state(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    state, before = _state(edges), None
+    while state[0] and state != before:
+        last, before = edges, state
         edges = materialise(_star(_star(edges, small=False), small=True), "cc")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
+        discard(last)
+        state = _state(edges)
     nodes = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 

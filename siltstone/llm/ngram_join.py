@@ -9,7 +9,8 @@ at a Jaccard similarity of ``NUM / DEN`` or more.  Documents with equal sets are
    Each class keeps a bitmap of its set, of about two bits a shingle: the bits of one set
    that another lacks bound their overlap from above.
 2. Row blocks: classes that share one of their least ``SIGNATURES`` shingles meet in blocks
-   of at most ``ROWS`` classes (with the group's first class in each).  Rows whose bitmap
+   of about ``ROWS`` classes and ``BLOCK_SHINGLES`` shingles at most (with the group's first
+   class in each), so long texts meet in smaller blocks.  Rows whose bitmap
    rules out every other row of the block leave.  The overlaps of the others
    are one product of the block's incidence matrix with its transpose, accumulated over
    column chunks; only a spanning forest of the links leaves the task.
@@ -39,13 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import WORD_PATTERN, materialise, slices
 from .components import components
 
 NUM, DEN = 3, 4
 SHINGLE = 5
 SIGNATURES = 2
 ROWS = 512
+BLOCK_SHINGLES = 1 << 23
 #: Shingles of a chunk whose frequent ones are counted, and their least count inside it.
 CHUNK = 1 << 21
 LOCAL_COUNT = 3
@@ -56,8 +58,11 @@ MAX_COMMON = 1 << 19
 #: Prefix entries of a column block, and the least number of blocks.
 BLOCK_ENTRIES = 1 << 21
 LEAST_BLOCKS = 16
-#: Buckets of the bitmaps that pre-filter rows; a collision only costs time.
+#: Least and most buckets of the bitmaps that pre-filter rows, eight for each wanted row between; a collision only costs time.
 BITMAP = 1 << 23
+MAX_BITMAP = 1 << 27
+#: Bits (a float32 each) of a chunk of the bitmaps' product.
+CHUNK_BITS = 1 << 22
 _WORDS = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,15 +129,20 @@ def may_link(bits_a: np.ndarray, n_a: int, bits_b: np.ndarray, n_b: int) -> bool
 
 
 def hopeful_rows(bitmaps: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Which rows of a block may link with another row of it."""
+    """Which rows of a block may link with another row of it; the bits are multiplied in chunks."""
     out = np.zeros(len(bitmaps), dtype=bool)
     lengths = np.array([len(b) for b in bitmaps])
     for size in np.unique(lengths):
         own = np.flatnonzero((lengths == size) | (lengths == 2 * size))  # sets that link differ by a third at most
         if len(own) < 2:
             continue
-        m = np.unpackbits(np.stack([_folded(bitmaps[i], size) for i in own]), axis=1).astype(np.float32)
-        both, held = m @ m.T, m.sum(axis=1)
+        folded = [_folded(bitmaps[i], size) for i in own]
+        both, held = np.zeros((len(own), len(own)), dtype=np.float32), np.zeros(len(own))
+        step = max(1, CHUNK_BITS // (8 * len(own)))
+        for at in range(0, size, step):
+            m = np.unpackbits(np.stack([b[at : at + step] for b in folded]), axis=1).astype(np.float32)
+            both += m @ m.T
+            held += m.sum(axis=1)
         n = sizes[own]
         most = np.minimum(n[:, None] - (held[:, None] - both), n[None, :] - (held[None, :] - both))
         may = linked(most, n[:, None], n[None, :])
@@ -159,8 +169,7 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
 
         names = ["doc_id", "n", "k1", "k2", "bits", "sig", "hot", "hot_n", *more]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 512):
                 sets = [shingle_set(t, seen) for t in part.column("text").to_pylist()]
                 keys = [set_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -183,14 +192,14 @@ def _hash_pass(documents: DataFrame) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of ``key`` values: at most BITMAP / 64 words reach the driver."""
+    """A bitmap of ``key`` values, of a power of two of buckets between BITMAP and MAX_BITMAP: at most a 64th of them as words reach the driver."""
+    size = max(BITMAP, min(MAX_BITMAP, 1 << (8 * keys.count()).bit_length()))
     words = (
-        keys.select(F.pmod(F.col("key"), F.lit(BITMAP)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).collect()
+        keys.select(F.pmod(F.col("key"), F.lit(size)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
     )
-    out = np.zeros(BITMAP // 64, dtype=np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
+    out = np.zeros(size // 64, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
@@ -200,22 +209,22 @@ def _sets_of(documents: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     Texts are not stored with their sets and not shuffled: they are hashed again, only
     where a bitmap of the representatives' ids lets them pass.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("rep").alias("key"))))
+    wanted_bits = _bitmap(wanted.select(F.xxhash64("rep").alias("key")))
+    shared = documents.sparkSession.sparkContext.broadcast(wanted_bits)
 
     def run(batches):
         seen, bits, done = _WordHashes(), shared.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                bit = np.asarray(part.column("bit"))
-                keep = ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-                sets = [shingle_set(t, seen) for t in part.column("text").filter(pa.array(keep)).to_pylist()]
+            bit = np.asarray(batch.column("bit"))
+            keep = ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+            for part in slices(batch.filter(pa.array(keep)), 2048):
+                sets = [shingle_set(t, seen) for t in part.column("text").to_pylist()]
                 rows = [(k, s) for k, s in ((set_key(s), s) for s in sets) if k not in done and not done.add(k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["k1", "k2", "shingles"]
                 )
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("bit")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(wanted_bits))).alias("bit")
     made = documents.select("text", bit).mapInArrow(run, "k1 bigint, k2 bigint, shingles binary")
     return materialise(made.join(wanted.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), label)
 
@@ -282,10 +291,15 @@ def _hopeful(batches):
 def _row_blocks(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """Links (a, b) of nodes found among classes that share a signature."""
     sigs = classes.select("node", "k1", "k2", "rep", "n", "bits", F.explode("sig").alias("s"))
-    # Groups of a signature: their size and first class, summed with map-side combining.
-    groups = sigs.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
+    # Groups of a signature: their size and first class, summed with map-side combining.  They are a
+    # table of their own, so a hot signature of the join can be split (or they are broadcast by size).
+    groups = materialise(
+        sigs.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.sum("n").alias("held")).where("size > 1")
+        .select("s", "first", F.ceil(F.greatest(F.col("size") / F.lit(ROWS), F.col("held") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")),
+        "ngram-groups",
+    )
     placed = materialise(
-        sigs.join(groups, "s").withColumn("blocks", F.ceil(F.col("size") / F.lit(ROWS)).cast("int")).withColumn("leads", F.col("node") == F.col("first"))
+        sigs.join(groups, "s").withColumn("leads", F.col("node") == F.col("first"))
         .withColumn("block", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.col("k2"), F.col("blocks")).cast("int")))))
         .repartition("s", "block").sortWithinPartitions("s", "block").select("s", "block", "leads", "node", "k1", "k2", "rep", "n", "bits")
         .mapInArrow(_hopeful, "s bigint, block int, leads boolean, node bigint, k1 bigint, k2 bigint, rep bigint"),
@@ -401,8 +415,8 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
         seen, done = _WordHashes(), set()
         common, common_n = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t, seen) for t in batch.slice(at, 512).column("text").to_pylist()]
+            for part in slices(batch, 512):
+                sets = [shingle_set(t, seen) for t in part.column("text").to_pylist()]
                 rows = [(k, s) for k, s in ((set_key(s), s) for s in sets if len(s)) if k not in done and not done.add(k)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([prefix(s, common, common_n).tobytes() for _, s in rows], pa.binary())],
@@ -526,16 +540,21 @@ def _placed(documents: DataFrame) -> DataFrame:
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` without those that another row of their component stands for.
 
-    Of each component one row stays: among the rows with the component's id one of the text of
-    least hash, and of these the least by its columns.  Rows that share an id but not a
-    component are no copies of each other.  Rows without shingles are copies only under one
-    id.  Rows without an id all stay.
+    Of each component one row stays: the least by id (rows without an id come last), then by
+    two hashes of its text, then by all columns in their order, which so have to be of types
+    that can be ordered.  Rows that share an id but not a component are no copies of each
+    other.  Rows without shingles are copies only under one id; those without an id all stay.
     """
-    columns, key = documents.columns, ["doc_id", "_t1", "_t2"]
-    keyed = documents.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
-    found = _placed(keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_t1", "_t2"))
-    least = found.where(F.col("doc_id") == F.col("component_id")).groupBy("component", "component_id").agg(F.min(F.struct(*key)).alias("least"))
-    stays = least.select(F.col("least.doc_id").alias("stay_id"), F.col("least._t1").alias("_s1"), F.col("least._t2").alias("_s2"))
-    same = (F.col("doc_id").cast("bigint") == F.col("stay_id")) & (F.col("_t1") == F.col("_s1")) & (F.col("_t2") == F.col("_s2"))
-    kept = keyed.join(stays, same, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
-    return kept.unionByName(documents.where(F.col("doc_id").isNull()))
+    key = ["k0", "k1", "k2"]
+    missing, doc_id = F.col("doc_id").isNull(), F.col("doc_id").cast("bigint")
+    # The row is one struct, so none of its columns can clash.
+    keyed = documents.select(
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"), doc_id.alias("doc_id"), "text",
+        F.xxhash64(missing, F.coalesce(doc_id, F.lit(0))).alias("k0"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"),
+    )
+    found = _placed(keyed.select("doc_id", "text", *(F.col(c).alias(f"own_{c}") for c in key))).withColumn("missing", missing)
+    order = F.struct("missing", "doc_id", *(f"own_{c}" for c in ("k1", "k2", "k0")))
+    least = found.where("component is not null or not missing").groupBy("component", F.when(F.col("component").isNull(), F.col("doc_id")).alias("alone")).agg(F.min(order).alias("least"))
+    stays = least.select(*(F.col(f"least.own_{c}").alias(c) for c in key))
+    kept = keyed.drop("text", "doc_id").join(stays, key, "left_semi").groupBy(*key).agg(F.min("doc").alias("doc")).select("doc.*")
+    return kept.unionByName(documents.where(missing & ~F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))))

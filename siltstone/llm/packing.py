@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, slices
 from .tokenize import WordTokenizer, tokenizer_path
 
 #: A sequence with at most this many free places is done.
@@ -88,8 +88,7 @@ def _local(documents: DataFrame, capacity: int, end_id: int, tokenizer: str) ->
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 256):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = np.append(words.encode(text), np.uint32(end_id))
                     data = memoryview(ids.tobytes())

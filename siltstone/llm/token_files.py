@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from ._common import shared_dir
+from ._common import shared_dir, slices
 from .tokenize import WordTokenizer, tokenizer_path
 
 SEGMENT_IDS = 1 << 17
@@ -48,8 +48,7 @@ def write(documents: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("image", pa.binary())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for rows in slices(batch, 256):
                 for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                     doc_ids.append(doc_id)
                     pieces.append(np.append(words.encode(text), np.uint32(end_id)))

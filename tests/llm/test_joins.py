@@ -70,7 +70,8 @@ def test_ngram_join_odd_tables(spark):
     want = [(None, 2, 5), (5, 2, 5), (5, 2, 5), (None, 0, None), (7, 0, 7), (None, 2, None)]
     assert got == sorted(map(str, want))
     kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, schema)).collect()
-    assert sorted(str(r["doc_id"]) for r in kept) == ["5", "7", "None", "None", "None"]
+    # The copy without an id goes, as row 5 stands for it.
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == ["(5, 'a b c d e f')", "(7, None)", "(None, 'q r s t u v')", "(None, None)"]
 
 
 def test_one_of_each_with_repeated_ids(spark):
@@ -81,6 +82,50 @@ def test_one_of_each_with_repeated_ids(spark):
     assert sum(not r["text"] for r in kept) == 1
 
 
+def test_one_of_each_without_ids_and_with_clashing_columns(spark):
+    one, near = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(39)) + " x"
+    rows = [(None, one, 2), (None, near, 1), (None, one, 1), (None, "", 1), (None, "", 1), (None, "other words", 9), (4, None, 0), (4, None, 0)]
+    names = ["doc_id", "text", "stay_id"]
+    for clash in ("stay_id", "component", "k1", "own_k1", "doc", "node", "missing", "odd name.x"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, stay_id int").withColumnRenamed("stay_id", clash).repartition(2)
+        kept = ngram_join.keep_one_of_each(docs)
+        assert kept.columns == [*names[:2], clash]
+        got = [tuple(r) for r in kept.collect()]
+        assert sorted(str(r) for r in got if r[1] not in (one, near)) == sorted(str(r) for r in [*rows[3:6], rows[6]])
+        assert [r for r in got if r[1] in (one, near)] in ([(None, one, 1)], [(None, near, 1)])
+    empty = docs.where("false")
+    assert ngram_join.keep_one_of_each(empty).count() == 0
+
+
+def test_blocks_of_very_long_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 3000)
+    rng = random.Random(11)
+    base = words(rng, 1500)
+    rows = []
+    for i in range(40):  # near copies of one long text
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(ngram_join, "CHUNK_BITS", 2048)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    sets = [ngram_join.shingle_set(t, ngram_join._WordHashes()) for _, t in rows]
+    bits = [np.frombuffer(ngram_join.bitmap_of(s), dtype=np.uint8) for s in sets]
+    assert ngram_join.hopeful_rows(bits, np.array([len(s) for s in sets])).all()
+    assert len(set(ngram_join.block_links(sets))) == 1
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from siltstone.llm._common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n is not None else None for n in (3, None, 5, 100, 1, 1, 1, 1, 0)])], ["text"])
+    assert [p.num_rows for p in slices(batch, 3, most_bytes=10)] == [3, 1, 3, 2]
+    assert [p.num_rows for p in slices(batch, 100)] == [9] and list(slices(batch.slice(0, 0), 3)) == []
+
+
 def test_bitmap_bound_never_rules_out_a_link():
     rng = np.random.default_rng(4)
     for _ in range(400):
