@@ -13,32 +13,37 @@ matrix product.
 Edge cases: null and empty texts and texts without any letter give ``und`` with score 0.
 Equal texts give equal rows; every input row gives one output row; an empty table gives
 none.  Without labelled text everything is ``und``.  With one language in the labels the
-score of every text with letters is 1.  Only ``doc_id``, ``text`` and (for training)
+score of every text with letters is 1.  A letter is a character of Unicode's categories L, so
+numerals such as one half or the Roman ones are none.  Only ``doc_id``, ``text`` and (for training)
 ``lang`` are read.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample
+from ._common import bounded_sample, slices
 
-#: Documented bounds of the training sample: documents of each language and languages.
+#: Documented bounds of the training sample: documents of each language, windows of a document
+#: (spread evenly over it), windows of all languages and at least of each.
 TRAIN_PER_LANGUAGE = 300
-MAX_LANGUAGES = 64
+WINDOWS_PER_DOCUMENT = 32
 TRAIN_WINDOWS = 8000
+LEAST_WINDOWS = 100
+#: More languages than are known to exist are an error, as the column then holds something else.
+MAX_LANGUAGES = 10_000
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BATCH_WINDOWS = 256
 
 
@@ -88,14 +93,22 @@ class ByteCNN:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 1, epochs: int = 6, batch: int = 64, rate: float = 0.004) -> ByteCNN:
-    """Train on windows of the given texts: whole windows and shorter crops, balanced by language."""
+def train(texts: list[str], langs: list[str], seed: int = 1, **more) -> ByteCNN:
+    """Train on all windows of the given texts."""
+    return train_windows([(lang, window_bytes(t)[0]) for t, lang in zip(texts, langs, strict=True)], seed, **more)
+
+
+def train_windows(found: list[tuple[str, np.ndarray]], seed: int = 1, epochs: int = 6, batch: int = 64, rate: float = 0.004) -> ByteCNN:
+    """Train on (language, windows) of documents: whole windows and shorter crops, balanced by language."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(langs))
-    per = max(1, TRAIN_WINDOWS // max(1, len(languages)))
+    pools: dict[str, list] = {}
+    for lang, windows in found:
+        pools.setdefault(lang, []).append(windows)
+    languages = sorted(pools)
+    per = max(LEAST_WINDOWS, TRAIN_WINDOWS // max(1, len(languages)))
     xs, ys = [], []
     for k, lang in enumerate(languages):
-        pool = np.concatenate([window_bytes(t)[0] for t, own in zip(texts, langs, strict=True) if own == lang])
+        pool = np.concatenate(pools[lang])
         got = pool[rng.permutation(len(pool))[:per]]
         got = got[np.resize(np.arange(len(got)), per)].copy()
         short = rng.random(per) < 0.3  # crops teach short texts and last windows
@@ -157,14 +170,22 @@ def _gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict:
 
 
 def fit_langid(documents: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, seed: int = 1) -> ByteCNN | None:
-    """Train on at most about ``per_language`` documents of each of ``MAX_LANGUAGES`` languages."""
+    """Train on at most about ``per_language`` documents of each language; their windows are cut on the executors."""
     chosen = bounded_sample(documents.select("doc_id", "lang"), "lang", per_language, MAX_LANGUAGES, seed)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 128):
+                made = [window_bytes(t)[0] for t in part.column("text").to_pylist()]
+                made = [w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_DOCUMENT).astype(np.int64))].tobytes() for w in made]
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(made, pa.binary())], ["lang", "windows"])
+
     rows = (
         documents.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
-        .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang").collect()
+        .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(run, "lang string, windows binary").collect()
     )
-    pairs = sorted((r["lang"], r["text"]) for r in rows)
-    return train([t for _, t in pairs], [lang for lang, _ in pairs], seed) if pairs else None
+    found = sorted((r["lang"], bytes(r["windows"])) for r in rows)
+    return train_windows([(lang, np.frombuffer(w, dtype=np.uint8).reshape(-1, WINDOW)) for lang, w in found], seed) if found else None
 
 
 def predict_batch(model: ByteCNN | None, tables, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -191,8 +212,7 @@ def predict_batch(model: ByteCNN | None, tables, texts: list[str | None]) -> tup
 def _scored(batches, model):
     tables = model.tables() if model is not None else None
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
+        for part in slices(batch, 128):
             yield part, *predict_batch(model, tables, part.column("text").to_pylist())
 
 
@@ -207,15 +227,15 @@ def identify(documents: DataFrame, model: ByteCNN | None) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, model: ByteCNN | None, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` with a language of at least ``min_score``; a null ``lang`` is filled in."""
+    """The rows of ``documents`` with a language of at least ``min_score``; a null ``lang``, where there is one, is filled in."""
 
     def run(batches):
         for part, lang, score in _scored(batches, model):
             keep = pa.array([k != UNDETERMINED and s >= min_score for k, s in zip(lang, score, strict=True)], pa.bool_())
             at = part.schema.get_field_index("lang")
-            filled = pa.array([own if own is not None else k for own, k in zip(part.column(at).to_pylist(), lang, strict=True)], part.column(at).type)
             columns = list(part.columns)
-            columns[at] = filled
+            if at >= 0:
+                columns[at] = pa.array([own if own is not None else k for own, k in zip(part.column(at).to_pylist(), lang, strict=True)], part.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(keep)
 
     return documents.mapInArrow(run, documents.schema)

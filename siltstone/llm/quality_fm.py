@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_stats as ts
-from ._common import bounded_sample
+from ._common import bounded_sample, slices
 
 WORD_BUCKETS = 1 << 15
 RANK = 8
@@ -129,14 +129,13 @@ def train(raw, y: np.ndarray, seed: int = 6, epochs: int = 12, batch: int = 128,
 
 
 def fit_quality_fm(documents: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, seed: int = 6) -> FactorisationMachine:
-    """Fit on about ``per_label`` labelled documents of each label; word buckets and statistics are made on the executors."""
-    chosen = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")), "y", per_label, 2, seed)
+    """Fit on about ``per_label`` labelled documents of label 0 and of label 1 (others take no part); word buckets and statistics are made on the executors."""
+    chosen = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)"), "y", per_label, 2, seed)
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
+            for part in slices(batch, _SLICE):
                 raw = [raw_inputs(t, hasher) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("y"), pa.array([r[0].astype("<i4").tobytes() for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.list_(pa.float64())), pa.array([r[2] for r in raw], pa.int32())],
@@ -158,8 +157,7 @@ def score_quality(documents: DataFrame, model: FactorisationMachine, cut: float
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
+            for part in slices(batch, _SLICE):
                 score = model.score([raw_inputs(t, hasher) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_stats as ts
-from ._common import bounded_sample
+from ._common import bounded_sample, slices
 
 #: Rows of each class that the trees are fitted on, at most about; the documented bound.
 TRAIN_PER_LABEL = 2500
@@ -126,8 +126,7 @@ def _best_split(binned, g, h, cuts, signs, low, high, l2, min_child):
 def _stats_batches(batches):
     """Arrow batches with a column text to lists of statistics and features, in bounded slices."""
     for batch in batches:
-        for at in range(0, batch.num_rows, _SLICE):
-            part = batch.slice(at, _SLICE)
+        for part in slices(batch, _SLICE):
             texts = part.column("text").to_pylist()
             stats = [ts.base_stats(t) for t in texts]
             x = np.array([ts.features(s) for s in stats], dtype=np.float64).reshape(len(texts), len(ts.FEATURES))
@@ -135,12 +134,12 @@ def _stats_batches(batches):
 
 
 def fit_quality_trees(documents: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, seed: int = 3) -> Trees:
-    """Fit on a bounded sample of labelled rows: at most about ``per_label`` of each class.
+    """Fit on a bounded sample of labelled rows: at most about ``per_label`` of label 0 and of label 1; others take no part.
 
     Statistics are computed where the text lies; only the sample's feature vectors (a few
     hundred KB) reach the driver.
     """
-    chosen = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")), "y", per_label, 2, seed)
+    chosen = bounded_sample(labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)"), "y", per_label, 2, seed)
 
     def run(batches):
         for part, _, x in _stats_batches(batches):

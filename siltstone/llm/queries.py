@@ -13,7 +13,7 @@ from ._common import fold, table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = fold("doc_id", 5) == 0
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     model = langid.fit_langid(documents.where(~held_out))
     return langid.identify(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -33,7 +33,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = fold("doc_id", 4) == 2
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     model = quality_fm.fit_quality_fm(documents, labels.where(~held_out))
     return quality_fm.score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

@@ -62,6 +62,27 @@ def test_trees_obey_monotonic_constraints_and_learn():
     assert len(quality_rules.fit_trees(x, np.ones(600), np.zeros(3)).score(x)) == 600
 
 
+def test_tree_scores_equal_a_plain_walk():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(500, 4)), 1)
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(scale=0.3, size=500) > 0.8).astype(float)
+    trees = quality_rules.fit_trees(x, y, np.array([1, 0, 0, -1]), rounds=15)
+    assert len(trees.feature) == 15
+
+    def walk(row):
+        total = trees.bias
+        for feature, threshold, value in zip(trees.feature.tolist(), trees.threshold.tolist(), trees.value.tolist(), strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 2 if row[feature[at]] > threshold[at] else 2 * at + 1
+            total += value[at - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    fresh = np.concatenate([x, np.round(rng.normal(scale=3, size=(200, 4)), 1), np.array([[np.inf, -np.inf, 0, 0]])])
+    assert np.allclose(trees.score(fresh), [walk(r) for r in fresh.tolist()])
+    assert ((trees.score(x) > 0.5) == y).mean() > 0.85
+
+
 def test_quality_rules_on_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (3, None)], "doc_id bigint, quality int")
@@ -88,6 +109,8 @@ def test_bounded_sample_is_bounded_and_balanced(spark):
     keys = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 100 == 0).cast("int").alias("y"))
     got = {r["y"]: r["count"] for r in bounded_sample(keys, "y", 150, 2, 1).groupBy("y").count().collect()}
     assert 100 < got[0] < 200 and 100 < got[1] < 201
+    with pytest.raises(ValueError):
+        bounded_sample(keys.withColumn("y", F.col("doc_id") % 3), "y", 10, 2, 1)
 
 
 def test_language_tables_equal_the_convolution():
@@ -125,6 +148,27 @@ def test_language_on_odd_rows(spark):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
+def test_numerals_are_no_letters_and_many_languages_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4} " * 30, f"l{i:03d}") for i in range(80)], "doc_id bigint, text string, lang string")
+    model = langid.fit_langid(docs)
+    assert len(model.languages) == 80
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2 \u2167 12 __ !"), (2, "\u00bd \u00aa"), (3, "5 \u4e2d")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in langid.identify(odd, model).collect()} == {1: True, 2: False, 3: False}
+    # Without a column lang the other columns are left as they are.
+    assert sorted(r["doc_id"] for r in langid.keep_identified(odd.withColumn("last", F.lit(None).cast("string")), model, 0.0).where("last is null").collect()) == [2, 3]
+
+
+def test_registered_queries_give_a_boolean_for_a_null_id(spark, tmp_path):
+    from siltstone.llm import queries
+
+    docs = spark.createDataFrame([*ODD, *((100 + i, f"some plain words of text {i}", "en", "s", 1, "x") for i in range(20))], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("op1_language_id", "op6_quality_classifier"):
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == docs.count() and all(isinstance(r["held_out"], bool) for r in rows)
+
+
 def test_machine_scores_equal_the_pairwise_sum():
     rng = np.random.default_rng(3)
     size = quality_fm.WORD_BUCKETS + quality_fm.BINS * len(ts.FEATURES) + quality_fm.LENGTH_CLASSES
