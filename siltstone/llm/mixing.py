@@ -36,8 +36,9 @@ from ._common import materialise
 #: Share of the greatest possible entropy that the mix has at least, unless repetition forbids it.
 TARGET_ENTROPY_SHARE = 0.97
 MAX_REPETITION = 2.0
-#: Tokens of a block.
+#: Tokens of a block at most, and blocks of a stream at least (where it has as many tokens).
 BLOCK_TOKENS = 1 << 22
+LEAST_BLOCKS = 16
 #: Rows of a hash bucket in which running sums are taken.
 BUCKET_ROWS = 4000
 STEPS, ROUNDS = 5, 6
@@ -85,11 +86,12 @@ def exponent(sources: DataFrame, target_entropy_share: float, max_repetition: fl
 
 def mix(
     documents: DataFrame, target_entropy_share: float = TARGET_ENTROPY_SHARE, max_repetition: float = MAX_REPETITION,
-    budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 5, carry: list[str] | None = None,
+    budget: int | None = None, block_tokens: int | None = None, seed: int = 5, carry: list[str] | None = None,
 ) -> DataFrame:
     """The mixed stream: columns ``doc`` (a struct of the row), ``source``, ``tokens``, ``epoch``, ``block``, ``place``.
 
     ``budget``: tokens of the stream, by default the least that holds every document.
+    ``block_tokens``: of a block, by default from the budget: BLOCK_TOKENS, or less where that gives fewer than LEAST_BLOCKS blocks.
     ``carry``: the columns of ``documents`` in ``doc``, by default all; others are not shuffled.
     """
     # The draw rests on the row's text as well, so equal ids do not pile up in one bucket.
@@ -110,7 +112,7 @@ def mix(
     owed = F.coalesce(F.round(term / F.lit(z) * F.lit(float(budget))), F.lit(0)).cast("bigint")
     quota = sources.select("source", F.col("tokens").alias("source_tokens"), (F.greatest(owed, F.col("tokens")) if whole else owed).alias("owed"))
 
-    blocks = max(1, round(budget / block_tokens))
+    blocks = max(1, round(budget / (block_tokens or max(1, min(BLOCK_TOKENS, budget / LEAST_BLOCKS)))))
     buckets = max(1, math.ceil(most_rows / BUCKET_ROWS))
     same = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source"))
     # Passes of a source: owed over its tokens, at most max_repetition rounded up.
@@ -121,7 +123,7 @@ def mix(
         "r.source", "draw", "weight", "tokens", "owed", "source_tokens", F.explode(F.sequence(F.lit(0), passes - 1)).alias("epoch")
     )
     runs = runs.withColumn("order", F.xxhash64(F.lit(seed + 1), "epoch", "draw"))
-    runs = materialise(runs.withColumn("bucket", F.shiftrightunsigned(F.col("order"), 33) * F.lit(buckets) / F.lit(1 << 31)).withColumn("bucket", F.col("bucket").cast("int")), "mix-runs")
+    runs = materialise(runs.withColumn("bucket", (F.shiftright(F.col("order"), 33) + F.lit(1 << 30)) * F.lit(buckets) / F.lit(1 << 31)).withColumn("bucket", F.col("bucket").cast("int")), "mix-runs")
     in_order = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = runs.groupBy("source", "epoch", "bucket").agg(F.sum("weight").alias("sum_here")).withColumn("shift", F.coalesce(F.sum("sum_here").over(in_order), F.lit(0))).drop("sum_here")
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("order", "draw").rowsBetween(Window.unboundedPreceding, -1)

@@ -321,6 +321,64 @@ def test_mixing_weights_repetition_and_blocks(spark, monkeypatch):
     assert len(blocks) > 5 and np.std(share) < 0.05
 
 
+def brute_mix(spark, docs, a, block_tokens, budget=None, seed=5):
+    """The stream by its definition, source by source in plain loops; only the hashes are Spark's."""
+    hashed = docs.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("draw")).collect()
+    sources, rows = {}, {}
+    for r in hashed:
+        sources[r["source"]] = sources.get(r["source"], 0) + r["tokens"]
+        rows.setdefault(r["source"], []).append(r)
+    total = sum(sources.values())
+    term = {s: (n / total) ** a for s, n in sources.items() if n}
+    z, whole = sum(term.values()), budget is None
+    budget = z / min(term[s] / sources[s] for s in term) if whole else budget
+    block_tokens = block_tokens or max(1, min(mixing.BLOCK_TOKENS, budget / mixing.LEAST_BLOCKS))
+    blocks, out = max(1, round(budget / block_tokens)), []
+    for source, own in rows.items():
+        owed = round(term.get(source, 0) / z * budget)
+        owed = max(owed, sources[source]) if whole else owed
+        for epoch in range(max(1, -(-owed // max(1, sources[source])))):
+            draws = spark.createDataFrame([(r["doc_id"], r["tokens"], r["draw"]) for r in own], "doc_id bigint, tokens bigint, draw bigint")
+            order = sorted(draws.select("*", F.xxhash64(F.lit(seed + 1), F.lit(epoch), "draw").alias("o"), F.xxhash64(F.lit(seed + 2), "draw", F.lit(epoch)).alias("place")).collect(), key=lambda r: (r["o"], r["draw"]))
+            at = epoch * sources[source]
+            for r in order:
+                if at < owed or epoch == 0 and at <= owed and not r["tokens"]:
+                    out.append((r["doc_id"], source, r["tokens"], epoch, min(blocks - 1, int(at / max(owed, 1) * blocks)), r["place"]))
+                at += r["tokens"]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("budget", [None, 9000])
+def test_mixed_stream_equals_its_definition(spark, monkeypatch, budget):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randrange(0, 30), f"s{rng.choice([0, 0, 0, 0, 1, 1, 2])}" if i % 17 else None) for i in range(900)] + [(2000, None, "only null")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for block_tokens in (None, 700):
+        got = mixing.mix(docs, target_entropy_share=0.995, max_repetition=3.0, budget=budget, block_tokens=block_tokens)
+        totals = {}
+        for _, text, source in rows:
+            totals[source] = totals.get(source, 0) + len((text or "").split())
+        sources = spark.createDataFrame([(n,) for n in totals.values() if n], "tokens bigint")
+        a = mixing.exponent(sources, 0.995, 3.0, None if budget is None else float(budget), float(sum(totals.values())), sources.count())
+        assert 0 < a < 1
+        want = brute_mix(spark, docs, a, block_tokens, budget)
+        got = sorted((tuple(r) for r in got.select("doc.doc_id", "source", "tokens", "epoch", "block", "place").collect()), key=str)
+        assert got == want and len({r[4] for r in got}) >= 10 and max(r[3] for r in got) >= 1
+
+
+def test_the_registered_mix_changes_the_test_tables(spark):
+    from siltstone.llm import queries
+
+    got = queries.QUERIES["op5_source_mixing"](spark, "/root/testdata/sf0.01").select("source", "tokens", "epoch", "block").collect()
+    by, natural = {}, {}
+    for r in got:
+        by[r["source"]] = by.get(r["source"], 0) + r["tokens"]
+        natural[r["source"]] = natural.get(r["source"], 0) + r["tokens"] * (r["epoch"] == 0)
+    spread = lambda x: max(x.values()) / min(x.values())
+    assert max(r["epoch"] for r in got) >= 1 and len({r["block"] for r in got}) == mixing.LEAST_BLOCKS and spread(by) < 0.8 * spread(natural)
+
+
 def test_mixing_budget_and_odd_tables(spark):
     schema = "doc_id bigint, text string, source string"
     docs = spark.createDataFrame([(i, "w w w w", "a" if i % 4 else "b") for i in range(400)], schema)
