@@ -531,7 +531,9 @@ def _placed(documents: DataFrame) -> DataFrame:
     labelled = materialise(classes.join(labels, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found", "sig"), "ngram-labelled")
     joined = components(_column_blocks(labelled, documents, hot, (n_shingles or 0) // DEN + n_docs), "la", "lb")
     placed = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    placed = materialise(placed.select("k1", "k2", "component", "rep", "n_copies"), "ngram-placed")
+    # A table of its own, so the join of a large component can be split (or it is broadcast by size).
+    least = materialise(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "ngram-least")
     named = materialise(placed.join(least, "component").select("k1", "k2", "component", "component_id", "n_copies"), "ngram-named")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(None).cast("bigint").alias("component"), *more)
     return rows.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_copies", "component", *more).unionByName(alone)
