@@ -8,16 +8,19 @@ programming), so its nodes get slots of the reference.  For each slot the digest
 blocks are counted, in Spark, over distinct page contents: copies count once, and inside an
 ``article`` or ``main`` so do pages that share their longest other passage, since these are near
 copies.  A block is template if most pages of its slot have it, or if it is repeated in a slot
-that holds repeated blocks only; inside an ``article`` or ``main``, where a passage that some
-pages quote is text, most pages of the host must have it.  The same rule goes over the paths of a host, whatever the
+that holds repeated blocks only (a notice of most pages, or adverts from a pool on at least
+``POOL_PAGES``); inside an ``article`` or ``main``, where a passage that some pages quote is
+text, most pages of the host must have it.  The same rule goes over the paths of a host, whatever the
 place among siblings and for nodes that no slot matches, and over the paths of all hosts, which
 gives hosts of one page a template.  All this runs on descriptions (names and digests, no text).
 
 The induced template decides the blocks of every page.  After it come two checks on what is left:
 a page with an ``article`` or ``main`` keeps only blocks of such elements, and elements that HTML
-marks as furniture (menu, header, footer, hidden, script, style) are left out.  One that only
-its class or id (sidebar, notice, advert, comments) or ``form`` marks is left out unless it holds
-more than half of what is left.
+marks as furniture (menu, header, footer, hidden, script, style; not the header with a heading
+that an article has) are left out, and so are reader comments (a class ``comment`` and the like,
+also of an ``article``).  One that only its class or id (sidebar, notice, advert) or ``form`` marks
+is left out unless it holds more than half of what is left; inside an ``article`` or ``main`` names
+of other words (``share-of-market``) and of words that text has as well (``legal``) mark nothing.
 
 Edge cases: null and empty html give an empty text and take no part in the induction.  Broken
 markup (unclosed, stray or crossing tags) is read as it stands.  Null urls share the host ''.
@@ -48,8 +51,9 @@ REFERENCE_TREES = 8
 #: A block is constant if it is on at least this share of the pages with its slot, and on this many.
 CONSTANT_SHARE = 0.6
 CONSTANT_PAGES = 3
-#: In a slot with a constant block and this share of repeated blocks, all repeated blocks are template.
+#: In a slot with this share of repeated blocks, and a constant one or this many pages, all repeated blocks are template.
 REPEATED_SHARE = 0.9
+POOL_PAGES = 10
 
 # Comments, declarations, whole tags, and at last tags with an unbalanced quote, which are skipped.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
@@ -76,7 +80,15 @@ FURNITURE_WORDS = set(
     "footer comment comments disqus reply replies cookie cookies consent notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended widget toolbar pagination pager skip copyright legal".split()
 )
+#: Words beside them that leave the mark as it is, and marking words that inside the main text mark nothing.
+NEUTRAL_WORDS = set(
+    "bar block box button buttons container content entry fixed footnote global group icon icons inline inner item items large left link links list main module outer page panel post row "
+    "section site small slot sticky top bottom right text title unit wrap wrapper area media".split()
+)
+TEXT_WORDS = set("copyright header legal masthead skip".split())
+COMMENT_NAMES = set("comment comments reply replies".split())
 MAIN_TAGS = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @dataclass
@@ -86,19 +98,24 @@ class Node:
     children: list = field(default_factory=list)  # Node or str
     furniture: bool = False
     marked: bool = False  # only by its class or id, or a form
+    outside: bool = False  # marked so only outside the main text
 
 
 def _node(tag: str, attributes: str) -> Node:
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes.strip(" /") else {}
     label = " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x).lower()
-    words = set(_WORDS.split(label)) if label else set()
+    names = [_WORDS.split(x) for x in label.split()]
+    words = {w for name in names for w in name}
     style = found.get("style", "").replace(" ", "").lower()
     off = (
         tag in FURNITURE_TAGS or found.get("role", "").lower() in FURNITURE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-        or "display:none" in style
+        or "display:none" in style or (tag not in ("html", "body", "main") and not COMMENT_NAMES.isdisjoint(label.split()))
     )
     marked = tag == "form" or (tag not in ("html", "body", *MAIN_TAGS) and bool(words & FURNITURE_WORDS))
-    return Node(f"{tag}.{'.'.join(sorted(w for w in words if w and not w.isdigit()))}"[:80], tag, furniture=off, marked=marked)
+    inside = tag == "form" or any(
+        not (FURNITURE_WORDS - TEXT_WORDS).isdisjoint(name) and all(not w or w.isdigit() or w in FURNITURE_WORDS or w in NEUTRAL_WORDS for w in name) for name in names
+    )
+    return Node(f"{tag}.{'.'.join(sorted(w for w in words if w and not w.isdigit()))}", tag, furniture=off, marked=marked, outside=marked and not inside)
 
 
 def parse(text: str | None) -> Node:
@@ -180,6 +197,16 @@ def path_of(up: int, name: str) -> int:
     return got
 
 
+def _has_heading(node: Node) -> bool:
+    work = [node]
+    while work:
+        own = work.pop()
+        if own.tag in _HEADINGS:
+            return True
+        work += [c for c in own.children if not isinstance(c, str)]
+    return False
+
+
 def fold(root: Node) -> Slot:
     """The tree of block elements.  Inline elements dissolve; text goes to the nearest block."""
     top = Slot("#", False, False)
@@ -205,7 +232,8 @@ def fold(root: Node) -> Slot:
                     flush(slot, buffer)
             elif child.tag in _BLOCKS or child.furniture or child.marked:
                 flush(slot, buffer)
-                own = Slot(child.name, slot.main or child.tag in MAIN_TAGS, slot.furniture or child.furniture, child.marked)
+                off = child.furniture and not (child.tag == "header" and slot.main and _has_heading(child))
+                own = Slot(child.name, slot.main or child.tag in MAIN_TAGS, slot.furniture or off, child.marked and not (child.outside and slot.main))
                 slot.children.append(own)
                 work.append((iter(child.children), own, []))
                 break
@@ -402,7 +430,10 @@ def _constant(counts: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
     n, block, often = F.col("n"), F.col("digest").isNotNull(), F.col("n") >= CONSTANT_PAGES
     slots = counts.groupBy(*by).agg(
         F.max(F.when(~block, n)).alias("pages"), F.max(F.when(block, n)).alias("most"), F.sum(F.when(block, n)).alias("all"), F.sum(F.when(block & often, n)).alias("repeated")
-    ).where((F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages")))
+    ).where(
+        (F.col("most") >= CONSTANT_PAGES) & (F.col("most") >= CONSTANT_SHARE * F.col("pages"))
+        | (F.col("pages") >= POOL_PAGES) & (F.col("repeated") >= REPEATED_SHARE * F.col("all"))
+    )
     found = counts.where(block & often).join(slots, by)
     return (
         (found.join(sizes, "host") if "host" in by else found.crossJoin(sizes)).where(F.when(F.col("main"), n >= CONSTANT_SHARE * F.col("n_pages")).otherwise((n >= CONSTANT_SHARE * F.col("pages")) | (F.col("repeated") >= REPEATED_SHARE * F.col("all"))))

@@ -239,3 +239,77 @@ def test_siblings_are_slots_of_their_own(spark):
     assert extracted(spark, deep) == [words(i) for i in range(6)]
     long = "".join(f"<ul><li>Item {k}</li></ul>" for k in range(450))
     assert extracted(spark, [("http://g/", f"<body>{long}<p>{words(i)}</p></body>") for i in range(4)]) == [words(i) for i in range(4)]
+
+
+def text_of(html):
+    return html_wrapper.text_by_template(html_wrapper.fold(html_wrapper.parse(html)), set(), frozenset())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div role="navigation">menu</div><div>Main content here</div>', "Main content here"),
+        ("<div>Main</div><div hidden>secret</div>", "Main"),
+        ('<section><article class="comment">first!</article></section><p>x</p>', "x"),
+        ('<article>real<article class="comment reply-2">first!</article></article>', "real"),
+        ('<article><p>The text</p><p class="legal">Body</p><div class="share-of-market">Part</div><div class="share-box">tweet</div></article>', "The text\nBody\nPart"),
+        ("<article><header><h1>Title</h1></header><p>x</p><footer>f</footer></article><header><h1>Site</h1></header>", "Title\nx"),
+        ('<main><header class="site">links</header><p>x</p></main>', "x"),
+        ("<div class='no-comments'>all of the text</div><div class='ad-unit'>ad</div>", "all of the text"),
+    ],
+)
+def test_marks_and_roles_of_single_pages(page, want):
+    assert text_of(page) == want
+
+
+def test_pages_without_main_elements_and_names(spark):
+    """The test pages with article as div and without classes: the template alone finds the adverts, which come from a pool."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = F.regexp_replace(F.regexp_replace("html", "<(/?)article>", "<$1div>"), ' class="ad"', "")
+    want = {r["page_id"]: r["text"] for r in html_wrapper.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(pages.withColumn("html", bare)).collect()}
+    assert len(got) == 2500 and all(re.search("[^ ]", t) for t in want.values())
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
+def brute_match(a, b):
+    """The greatest common top-down order-preserving subtree, by all choices."""
+    if a.name != b.name:
+        return 0
+
+    def forest(x, y):
+        if not x or not y:
+            return 0
+        own = brute_match(x[0], y[0])
+        return max(forest(x[1:], y), forest(x, y[1:]), own + forest(x[1:], y[1:]) if own else 0)
+
+    return 1 + forest(a.children, b.children)
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(12)
+
+    def tree(depth):
+        own = html_wrapper.Slot(rng.choice("abc"), False, False)
+        own.digests = [rng.randrange(3)] if rng.random() < 0.5 else []
+        own.children = [tree(depth - 1) for _ in range(rng.randrange(0, 5))] if depth else []
+        return own
+
+    met = 0
+    for _ in range(400):
+        a, b = tree(2), tree(2)
+        b.name = a.name
+        size, pairs = html_wrapper.tree_match(a, b)
+        assert size == brute_match(a, b)
+        work, held = [(a, b, pairs)], 0
+        while work:  # the pairs are a matching of that size, in order
+            x, y, inner = work.pop()
+            held += 1
+            places = [([c is p for c in x.children].index(True), [c is q for c in y.children].index(True)) for p, q, _ in inner]
+            assert x.name == y.name and all(s < t and u < v for (s, u), (t, v) in zip(places, places[1:], strict=False))
+            work += inner
+        assert held == size
+        met += size
+    assert met > 2 * 400  # more than the roots alone
