@@ -42,7 +42,7 @@ def index_terms(text: Column) -> Column:
 
 def first_line(text: Column) -> Column:
     """The first line that is not blank, trimmed; '' if there is none."""
-    return F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.regexp_replace(F.regexp_extract(text, r"^\s*(\S[^\n]*)", 1), r"\s+$", "")
 
 
 def is_identifier(token: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TOTAL_ORDER
-from .lexical import DIGITS, deduplicated
+from .lexical import DIGITS, deduplicated, digest
 
 
 @dataclass(frozen=True)
@@ -46,15 +46,17 @@ def blend(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, profiles: Da
     both = lexical.select("query_id", "id", F.col("score").alias("lexical_score"), F.col("rank").alias("lexical_rank")).join(
         vector.select("query_id", "id", F.col("score").alias("cosine"), F.col("rank").alias("vector_rank")), ["query_id", "id"], "full_outer"
     )
-    both = both.join(F.broadcast(told.select("query_id", "protected", "vector_weight", "short")), "query_id").where(~F.col("short") | F.col("lexical_rank").isNotNull())
+    both = both.join(told.select("query_id", "protected", "vector_weight", "short"), "query_id").where(~F.col("short") | F.col("lexical_rank").isNotNull())
     pinned = ~F.col("short") & (F.col("lexical_rank") <= F.least(F.lit(limit), F.col("protected")))
     similarity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("cosine") + 1) / 2))
     blended = F.coalesce(1 / F.col("lexical_rank"), F.lit(0.0)) + F.coalesce(F.col("vector_weight") * similarity, F.lit(0.0))
     score = F.when(F.col("short"), F.col("lexical_score")).when(pinned, 10 + 1 / F.col("lexical_rank")).otherwise(blended)
-    hits = both.withColumns({"pinned": F.coalesce(pinned, F.lit(False)), "score": F.round(score, DIGITS)}).join(chunks, "id")
+    hits = both.withColumns({"pinned": F.coalesce(pinned, F.lit(False)), "score": F.round(score, DIGITS)})
+    hits = hits.join(chunks.select("id", "source_path", "byte_start", digest(F.col("text")).alias("digest")), "id")
     in_short = F.when(F.col("short"), F.col("lexical_rank"))
     order = [
         F.asc_nulls_last(in_short), F.desc("pinned"), F.desc("score"), F.asc_nulls_last("lexical_rank"), F.asc_nulls_last("vector_rank"), *TOTAL_ORDER
     ]
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return deduplicated(hits.drop("lexical_score", "cosine", "protected", "vector_weight", "short", "pinned"), limit)
+    best = deduplicated(hits.select("query_id", "id", "lexical_rank", "vector_rank", "score", "rank", "digest"), limit)
+    return best.join(chunks, "id")

@@ -6,12 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EmbeddingDimensions, MissingEmbeddings
 from .lexical import DIGITS, ranked
+from .nearest import KEYS, Best, result_type
 
 
 class Provider(Protocol):
@@ -116,13 +119,68 @@ def stats(embeddings: DataFrame) -> DataFrame:
     )
 
 
+#: Components of the queries that are sent to every task (8 bytes each), and of a block beyond that; rows of a data block.
+SENT_COMPONENTS = 1 << 23
+BLOCK_ROWS = 1 << 15
+
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of floats to rows of unit length; 0 where the norm is 0.  Shorter rows are filled up with zeros."""
+    rows = [np.asarray(v, dtype=np.float64) for v in vectors.to_numpy(zero_copy_only=False)]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for k, v in enumerate(rows):
+        out[k, : len(v)] = v
+    norm = np.sqrt((out * out).sum(axis=1))[:, None]
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _add_nearest(best: Best, asked: np.ndarray, batch: pa.RecordBatch | pa.Table) -> None:
+    keys, held = batch.select(KEYS).to_pandas(), _matrix(batch.column("vector"))
+    width, limit, step = min(held.shape[1], asked.shape[1]), best.limit, max(1, (1 << 22) // max(1, batch.num_rows))
+    for at in range(0, len(asked), step):
+        scores = np.round(asked[at : at + step, :width] @ held[:, :width].T, DIGITS) + 0.0
+        cut = np.partition(scores, len(keys) - limit, axis=1)[:, len(keys) - limit] if len(keys) > limit else np.full(len(scores), -np.inf)
+        query, row = np.nonzero(scores >= cut[:, None])
+        best.add(keys, row, query + at, scores[query, row])
+
+
 def score_vectors(embeddings: DataFrame, query_vectors: DataFrame, limit: int) -> DataFrame:
-    """(query_id, id, score, rank): the ``limit`` nearest of the slim rows (id, source_path, byte_start, vector).
+    """(query_id, id, source_path, byte_start, score, rank): the ``limit`` nearest of the slim rows (id, source_path, byte_start, vector).
 
-    Queries are a stated set; they are sent to the vectors, which stay where they are.
+    Cosines are blocked matrix products, and only each block's nearest leave its task.  Queries are a
+    stated set: up to SENT_COMPONENTS they are sent to the vectors, which stay where they are; a
+    larger set is cut into blocks that meet blocks of vectors.
     """
-    scored = embeddings.crossJoin(F.broadcast(query_vectors)).withColumn("score", F.round(cosine(F.col("vector"), F.col("query_vector")), DIGITS))
-    return ranked(scored.select("query_id", "id", "source_path", "byte_start", "score"), F.desc("score"), limit=limit)
+    slim, asked_of = embeddings.select(*KEYS, "vector"), query_vectors.select("query_id", "query_vector")
+    made, schema = result_type(slim, asked_of)
+    n, components = asked_of.agg(F.count(F.lit(1)), F.sum(F.size("query_vector"))).first()
+    if (components or 0) <= SENT_COMPONENTS:
+        sent = asked_of.toArrow()
+        ids, asked = sent.column("query_id").to_pandas().to_numpy(), _matrix(sent.column("query_vector"))
+
+        def run(batches):
+            best = Best(ids, limit, schema)
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    _add_nearest(best, asked, batch)
+            yield from best.table().to_batches()
+
+        scored = slim.mapInArrow(run, made)
+    else:
+        query_blocks, data_blocks = -(-components // SENT_COMPONENTS), -(-slim.count() // BLOCK_ROWS)
+        block = lambda c, k, name: F.pmod(F.xxhash64(c), F.lit(k)).cast("int").alias(name)
+        every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(int(k) - 1))).alias(name)
+        left = asked_of.select("*", block("query_id", query_blocks, "q")).select("*", every(data_blocks, "d"))
+        right = slim.select("*", block("id", data_blocks, "e")).select("*", every(query_blocks, "p"))
+
+        def solve(_, own: pa.Table, data: pa.Table) -> pa.Table:
+            best = Best(own.column("query_id").to_pandas().to_numpy(), limit, schema)
+            if own.num_rows and data.num_rows:
+                _add_nearest(best, _matrix(own.column("query_vector")), data)
+            return best.table()
+
+        scored = left.groupBy("q", "d").cogroup(right.groupBy("p", "e")).applyInArrow(solve, made)
+    return ranked(scored, F.desc("score"), limit=limit)
 
 
 def find_vector(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, provider: Provider, limit: int = 10) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evaluate, graph, headers, hybrid, index, lexical, observe, retrieve, vector
 from ..sources.corpus import from_documents
+from ..sources.scan import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _sources(spark, sf_dir) -> DataFrame:
@@ -219,7 +220,7 @@ def _hybrid(spark, sf_dir, profile: str | None) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"))
     stored = _t(spark, sf_dir, "embeddings").where("embedding is not null")
     slim = stored.join(docs, stored["vec_id"] == docs["doc_id"]).join(chunks.select("id", "source_path"), "source_path").select("id", "source_path", F.lit(0).cast("bigint").alias("byte_start"), F.col("embedding").alias("vector"))
-    asked = stored.join(F.broadcast(items), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").cast("array<double>").alias("query_vector"))
+    asked = stored.join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").cast("array<double>").alias("query_vector"))
     own = lexical.find_reranked(chunks, items, many).select("query_id", "id", "score", "rank")
     near = vector.score_vectors(slim, asked, many).select("query_id", "id", "score", "rank")
     return hybrid.blend(own, near, chunks, profiles_of(items, profile), 10).select("query_id", "rank", "source_path", "score")
@@ -347,7 +348,7 @@ def headers_budget(spark, sf_dir):
 def _cases(spark, sf_dir) -> DataFrame:
     """An item that occurs verbatim expects the least path that holds it; the others expect nothing that exists."""
     items, chunks = _items(spark, sf_dir), _chunks(spark, sf_dir)
-    found = chunks.join(F.broadcast(items), F.col("text").contains(F.col("query"))).groupBy("query_id").agg(F.min("source_path").alias("path"))
+    found = chunks.join(items, F.col("text").contains(F.col("query"))).groupBy("query_id").agg(F.min("source_path").alias("path"))
     return items.join(found, "query_id", "left").select(F.col("query_id").alias("name"), "query", F.array(F.struct(F.coalesce("path", F.lit("none")).alias("source_path"), F.col("query").alias("contains"))).alias("expected"))
 
 
