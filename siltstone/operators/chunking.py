@@ -1,6 +1,6 @@
 """Plain text to chunks: paragraphs, cut at ``MAX_BYTES``, with byte and line spans.
 
-Everything is built from array functions, so a source is chunked inside its own row and no
+One linear pass over each source, in Arrow batches: a source is chunked inside its own row, so no
 shuffle is needed.  A paragraph is a run of lines that are not blank; its span includes the
 end of its last line.  A longer one is packed greedily from pieces that end in white space;
 a piece that is too long alone is cut at the last character that fits.
@@ -8,12 +8,23 @@ a piece that is too long alone is cut at the last character that fits.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..schema import CHUNKS
 
 MAX_BYTES = 2048
 PLAIN = "plain-text-v1"
-_SPAN = "struct<start:bigint,text:string>"
+#: White space of blank lines and of pieces.
+_SPACE = " \t\n\x0b\f\r"
+_PIECE = re.compile(r"\S*\s|\S+", re.A)
+_ROWS = 256
 
 
 def extractor_id(path: Column) -> Column:
@@ -29,79 +40,88 @@ def chunk_id(path: Column, source_hash: Column, start: Column, end: Column) -> C
     return F.sha2(F.concat_ws("\0", path, source_hash, F.concat_ws(":", start.cast("string"), end.cast("string"))), 256)
 
 
-def paragraphs(text: Column) -> Column:
-    """array<struct<start, text>> of runs of lines that are not blank; start in bytes."""
-    lines = F.filter(F.split(text, r"(?<=\n)"), lambda x: x != "")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("open"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        blank = ~line.rlike(r"[^\s]")
-        last = F.element_at(acc["out"], -1)
-        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), F.concat(last["text"], line).alias("text"))))
-        new = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), line.alias("text"))))
-        out = F.when(blank, acc["out"]).when(acc["open"], grown).otherwise(new)
-        return F.struct((acc["at"] + F.octet_length(line)).alias("at"), (~blank).alias("open"), out.alias("out"))
-
-    return F.aggregate(lines, state, step, lambda acc: acc["out"])
-
-
-def _cut_piece(piece: Column, limit: int) -> Column:
-    """A piece in runs of at most ``limit`` bytes, cut between characters."""
-    state = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        full = F.octet_length(acc["cur"]) + F.octet_length(c) > limit
-        return F.struct(
-            F.when(full, c).otherwise(F.concat(acc["cur"], c)).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out")
-        )
-
-    cut = F.aggregate(F.filter(F.split(piece, ""), lambda c: c != ""), state, step, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
-    return F.when(F.octet_length(piece) > limit, cut).otherwise(F.array(piece))
+def id_of(path: str, source_hash: str, start: int, end: int) -> str:
+    """``chunk_id`` of one chunk."""
+    return hashlib.sha256(f"{path}\0{source_hash}\0{start}:{end}".encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def packed(text: Column, limit: int = MAX_BYTES) -> Column:
-    """array<string>: the text in order, each at most ``limit`` bytes, cut after white space where possible."""
-    pieces = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\S*\s|\S+"), F.lit(0)), lambda p: _cut_piece(p, limit)))
-    state = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["cur"] != "") & (F.octet_length(acc["cur"]) + F.octet_length(p) > limit)
-        return F.struct(
-            F.when(full, p).otherwise(F.concat(acc["cur"], p)).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out")
-        )
 
-    whole = F.aggregate(pieces, state, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    return F.when(F.octet_length(text) > limit, whole).otherwise(F.array(text))
+def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(byte start, lines before, text) of runs of lines that are not blank."""
+    at, line, start, first, held = 0, 0, 0, 0, []
+    for own in text.split("\n"):
+        end = own + "\n"
+        if own.strip(_SPACE):
+            if not held:
+                start, first = at, line
+            held.append(end)
+        elif held:
+            yield start, first, "".join(held)
+            held = []
+        at, line = at + n_bytes(end), line + 1
+    if held:  # the last line has no end of its own
+        yield start, first, "".join(held)[:-1]
 
 
-def _spans(paragraph: Column) -> Column:
-    """The packed parts of a paragraph with their byte starts."""
-    state = F.struct(paragraph["start"].alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.aggregate(
-        packed(paragraph["text"]), state,
-        lambda acc, t: F.struct((acc["at"] + F.octet_length(t)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), t.alias("text")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+def _cut(piece: str, limit: int) -> Iterator[str]:
+    """A piece in runs of at most ``limit`` bytes, cut between characters."""
+    held, size = [], 0
+    for c in piece:
+        n = n_bytes(c)
+        if size + n > limit:
+            yield "".join(held)
+            held, size = [], 0
+        held.append(c)
+        size += n
+    yield "".join(held)
+
+
+def packed(text: str, limit: int = MAX_BYTES) -> Iterator[str]:
+    """The text in order, each part at most ``limit`` bytes, cut after white space where possible."""
+    if n_bytes(text) <= limit:
+        yield text
+        return
+    held, size = [], 0
+    for m in _PIECE.finditer(text):
+        whole = n_bytes(m[0])
+        for part in (m[0],) if whole <= limit else _cut(m[0], limit):
+            n = n_bytes(part)
+            if held and size + n > limit:
+                yield "".join(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield "".join(held)
+
+
+def spans(text: str) -> Iterator[tuple[int, int, int, int, str]]:
+    """(byte start, byte end, first line, last line, text) of the chunks of a source; lines count from 1."""
+    for start, lines, paragraph in paragraphs(text):
+        for part in packed(paragraph):
+            end, breaks = start + n_bytes(part), part.count("\n")
+            yield start, end, lines + 1, lines + 1 + breaks - part.endswith("\n"), part
+            start, lines = end, lines + breaks
 
 
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def with_spans(chunks: DataFrame, text: str = "source_text") -> DataFrame:
-    """Adds byte_end, line_start and line_end to rows with the source's text, byte_start and the chunk's text."""
-    before = F.decode(F.substring(F.encode(F.col(text), "UTF-8"), F.lit(1), F.col("byte_start").cast("int")), "UTF-8")
-    start = newlines(before) + 1
-    end = start + newlines(F.col("text")) - F.when(F.col("text").endswith("\n"), 1).otherwise(0)
-    return chunks.withColumns({"byte_end": F.col("byte_start") + F.octet_length("text"), "line_start": start.cast("bigint"), "line_end": end.cast("bigint")})
-
-
 def chunk_plain(sources: DataFrame) -> DataFrame:
-    """Chunks of sources (path, content_hash, text), all read as plain text."""
-    parts = F.flatten(F.transform(paragraphs(F.col("source_text")), _spans))
-    made = sources.select(F.col("path").alias("source_path"), F.col("content_hash").alias("source_hash"), F.col("text").alias("source_text"))
-    made = made.select("*", F.explode(parts).alias("p")).select("source_path", "source_hash", "source_text", F.col("p.start").alias("byte_start"), F.col("p.text").alias("text"))
-    return with_spans(made).select(
-        chunk_id(F.col("source_path"), F.col("source_hash"), F.col("byte_start"), F.col("byte_end")).alias("id"),
-        "source_path", "source_hash", "byte_start", "byte_end", "line_start", "line_end", "text", F.lit(PLAIN).alias("extractor"), F.lit(None).cast("string").alias("symbol"),
-    )
+    """Chunks of sources (path, content_hash, text), all read as plain text; a null text has none."""
+    schema = to_arrow_schema(sources.sparkSession.createDataFrame([], CHUNKS).schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                rows = []
+                for path, source_hash, text in zip(*(c.to_pylist() for c in batch.slice(at, _ROWS).columns), strict=True):
+                    rows += [(id_of(path, source_hash, a, b), path, source_hash, a, b, c, d, part, PLAIN, None) for a, b, c, d, part in spans(text or "")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return sources.select("path", "content_hash", "text").mapInArrow(run, CHUNKS)

@@ -9,7 +9,6 @@ Scanning runs in ``mapInPandas``, a file at a time.
 from __future__ import annotations
 
 import ast
-import hashlib
 import re
 from bisect import bisect_right
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CHUNKS
-from .chunking import PLAIN, chunk_plain, extractor_id
+from .chunking import PLAIN, chunk_plain, extractor_id, id_of
 
 _RUST_ITEM = re.compile(r"(?:pub(?:\s*\([^)]*\))?\s+)?(?:default\s+)?(?:(?:async|unsafe|const|extern(?:\s*\"[^\"]*\")?)\s+)*(fn|impl|struct|enum|type|const|trait|static|mod|macro_rules!)(?![\w])")
 _TS_ITEM = re.compile(r"(?:export\b|(?:declare\s+|abstract\s+|async\s+)*(?:function|class|interface|enum|module|namespace)\b|(?:declare\s+)?type\s+\w+|declare\b)")
@@ -229,8 +228,7 @@ def scan(path: str, source_hash: str, text: str, extractor: str) -> list[dict]:
     rows = []
     for a, b, symbol, calls in _LANGUAGES[extractor](text):
         own = span(a, b)
-        key = f"{path}\0{source_hash}\0{own['byte_start']}:{own['byte_end']}"
-        chunk_id = hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()
+        chunk_id = id_of(path, source_hash, own["byte_start"], own["byte_end"])
         edges = [{"src_chunk_id": chunk_id, "edge_type": "calls", "dst_symbol": name, "confidence": "extracted", **span(x, y)} for name, x, y in calls]
         rows.append({"id": chunk_id, "source_path": path, "source_hash": source_hash, **own, "text": text[a:b], "extractor": extractor, "symbol": symbol, "edges": edges})
     return rows

@@ -1,11 +1,15 @@
 """Retrieval operators on hand-written fixtures."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone import schema
 from siltstone.functions import text as T
-from siltstone.operators import chunking, evaluate, graph, headers, hybrid, index, lexical, observe, retrieve, vector
+from siltstone.operators import chunking, evaluate, graph, headers, hybrid, index, lexical, nearest, observe, retrieve, vector
 
 CHUNK = schema.CHUNKS
 
@@ -36,6 +40,108 @@ def test_oversize_paragraphs_are_cut_at_space_and_character(spark):
     assert [len(t) for t, *_ in parts] == [1024, 176] and [p[1] for p in parts] == [0, 2048]
 
 
+def brute_spans(text, limit=2048):
+    """Chunks by their definition, byte by byte."""
+    out, lines, at = [], re.findall(r"[^\n]*\n|[^\n]+\Z", text), 0
+    runs, open_ = [], False
+    for line in lines:
+        blank = not re.search(r"[^ \t\n\x0b\f\r]", line)
+        if not blank and not open_:
+            runs.append([at, ""])
+        if not blank:
+            runs[-1][1] += line
+        open_ = not blank
+        at += len(line.encode())
+    for start, run in runs:
+        pieces = re.findall(r"(?a:\S*\s|\S+)", run) if len(run.encode()) > limit else [run]
+        parts = []
+        for piece in pieces:
+            small = [piece]
+            while len(small[-1].encode()) > limit:
+                k = max(k for k in range(len(small[-1])) if len(small[-1][:k].encode()) <= limit)
+                small[-1:] = [small[-1][:k], small[-1][k:]]
+            for own in small:
+                if parts and len((parts[-1] + own).encode()) <= limit:
+                    parts[-1] += own
+                else:
+                    parts.append(own)
+        for part in parts:
+            end = start + len(part.encode())
+            first = text.encode()[:start].count(b"\n") + 1
+            out.append((part, start, end, first, first + part.count("\n") - part.endswith("\n")))
+            start = end
+    return out
+
+
+def test_chunks_equal_their_definition(spark):
+    rng = random.Random(3)
+    alphabet = ["a", "é", "中", "😀", " ", "\t", "\n", "\n\n", "\r\n", "\x0b", "\x85", "\u2028", "word "]
+    texts = ["".join(rng.choices(alphabet, weights=[6, 2, 2, 1, 3, 1, 2, w, 1, 1, 1, 1, 5], k=rng.randrange(0, n))) for n in (40, 400, 6000) for w in (0, 1) for _ in range(8)]
+    texts += ["x" * 10_000, "é" * 5000 + "\n", "\n", "a\n\n" * 3000]
+    rows = spark.createDataFrame([(f"{i}.txt", "h", t) for i, t in enumerate(texts)] + [("none", "h", None)], "path string, content_hash string, text string")
+    got = {}
+    for r in chunking.chunk_plain(rows).orderBy("source_path", "byte_start").collect():
+        got.setdefault(r["source_path"], []).append((r["text"], r["byte_start"], r["byte_end"], r["line_start"], r["line_end"]))
+        assert r["id"] == chunking.id_of(r["source_path"], "h", r["byte_start"], r["byte_end"])
+    assert got == {f"{i}.txt": own for i, t in enumerate(texts) if (own := brute_spans(t))}
+
+
+def test_chunking_is_linear(spark):
+    text = ("word " * 30 + "\n") * 100_000 + "\n" + "y" * 3_000_000  # one paragraph of 15 MB and one piece of 3 MB
+    began = time.time()
+    parts = list(chunking.spans(text))
+    assert time.time() - began < 30 and sum(b - a for a, b, *_ in parts) == len(text) - 1
+
+
+def test_large_query_sets_are_joined(spark, monkeypatch):
+    rng = random.Random(5)
+    chunks = chunks_of(spark, *(" ".join(rng.choice(["alpha", "beta", "snake_case", "Gamma", "é", "x1"]) for _ in range(rng.randrange(1, 30))) for _ in range(60)))
+    queries = queries_of(spark, "alpha beta", "snake_case gamma", "e x1 x1", "beta snake_case alpha", "nothing", "a")
+    vectors = chunks.select("id", "source_path", "byte_start", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda x: F.sin(x * F.crc32(F.col("text").cast("binary")))).cast("array<float>").alias("vector"))
+    asked = vectors.where("id like '%0'").select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("query_vector"))
+
+    def results():
+        yield from (f(chunks, queries, 7) for f in (lexical.find_bm25, lexical.find_reranked, lexical.find_substring))
+        yield vector.score_vectors(vectors, asked, 7)
+        built = lexical.Index(lexical.postings(chunks), lexical.lengths(chunks))
+        yield from (f(chunks, queries, 7, built) for f in (lexical.find_bm25, lexical.find_reranked))
+
+    plain = lambda df: sorted(map(str, df.select("query_id", "rank", "id", "score").collect()))
+    sent = [plain(r) for r in results()]
+    monkeypatch.setattr(lexical, "SENT_TOKENS", 0)
+    monkeypatch.setattr(lexical, "SENT_BYTES", 0)
+    monkeypatch.setattr(vector, "SENT_COMPONENTS", 7)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 11)
+    joined = [plain(r) for r in results()]
+    assert sent == joined and sent[:2] == sent[4:] and all(sent)
+
+
+def test_best_rows_are_kept_over_many_batches(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(nearest, "HELD", 50)
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"id": [f"i{k % 400}" for k in range(500)], "source_path": [f"p{k % 7}" for k in range(500)], "byte_start": range(500)})
+    table = spark.createDataFrame(frame, "id string, source_path string, byte_start bigint")
+    _, schema_ = nearest.result_type(table, spark.createDataFrame([], "query_id int"))
+    best, scores = nearest.Best(np.array([5, 6, 9]), 8, schema_), rng.integers(0, 12, (500, 3)).astype(float)
+    for at in range(0, 500, 40):
+        row, query = np.nonzero(scores[at : at + 40] >= 0)
+        best.add(frame.iloc[at : at + 40], row, query, scores[at : at + 40][row, query])
+    got = best.table().to_pandas()
+    for k, q in enumerate((5, 6, 9)):
+        want = frame.assign(score=scores[:, k]).sort_values(["score", *schema.TOTAL_ORDER], ascending=[False, True, True, True]).head(8)
+        own = got[got["query_id"] == q]
+        assert own["byte_start"].tolist() == want["byte_start"].tolist() and own["score"].tolist() == want["score"].tolist()
+
+
+def test_first_line(spark):
+    texts = ["", " \n\t\n", "a", "\n  a b \t\r\n c", "\r\n\x0bx\r y\n", "é\n"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.first_line(F.col("t"))).collect()]
+    assert got == ["", "", "a", "a b", "x\r y", "é"]
+
+
 def test_chunk_ids_depend_on_path_hash_and_range(spark):
     one = F.lit(1)
     row = spark.range(1).select(*[chunking.chunk_id(F.lit(p), F.lit(h), F.lit(a), one).alias(f"c{i}") for i, (p, h, a) in enumerate([("a", "h", 0), ("b", "h", 0), ("a", "i", 0), ("a", "h", 1), ("a", "h", 0)])]).first()
