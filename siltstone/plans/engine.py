@@ -30,44 +30,52 @@ class Engine:
         missed = len(found.files) - report["discovered"]  # vanished between the walk and the read
         return report | {"discovered": len(found.files), "rejected": report["rejected"] + found.rejected + missed}
 
-    def index_sources(self, live: DataFrame, root: str | None = None, force: bool = False, only: list[str] | None = None) -> dict:
-        """Merge live sources (path, content) into the tables; ``only``: the paths that are looked at."""
+    def index_sources(self, live: DataFrame, root: str | None = None, force: bool = False, only: DataFrame | None = None) -> dict:
+        """Merge live sources (path, content) into the tables; ``only``: the paths (path) that are looked at.
+
+        What is written are the rows of changed sources and the paths of those that went.
+        """
+        state = self.store.state()
         now = index.decoded(index.hashed(live)).withColumn("extractor", extractor_id(F.col("path")))
-        old = self.store.read("sources")
-        seen = old if only is None else old.where(F.col("path").isin(only))
+        old = self.store.read("sources", state)
+        seen = old if only is None else old.join(only.select("path").distinct(), "path", "left_semi").select(*old.columns)
         changes = index.delta(seen, now, force).cache()
-        fresh = now.join(changes.where("action = 'indexed'").select("path"), "path", "left_semi")
-        made = code.extract(fresh.select("path", "content_hash", "text")).cache()
-        touched = changes.where("action <> 'unchanged'").select("path")
-        own = self.store.read("chunks")
-        chunk_columns = own.columns
-        chunks = index.merged(own, made.select(*chunk_columns), touched, "source_path")
-        gone = own.join(touched.select(F.col("path").alias("source_path")), "source_path", "left_semi").select(F.col("id").alias("src_chunk_id"))
-        edges = self.store.read("edges").join(gone, "src_chunk_id", "left_anti").select(*[c.split()[0] for c in schema.EDGES.split(", ")]).unionByName(code.edges_of(made))
-        sources = index.merged(old, fresh.select("path", "content_hash", "extractor"), touched, "path")
-        embeddings = self.store.read("embeddings")
-        kept = embeddings.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*embeddings.columns)
         report = index.report(changes).first().asDict()
-        row = made.agg(F.count(F.lit(1)).alias("chunks_written"), F.countDistinct(F.when(F.col("fallback"), F.col("source_path"))).alias("code_parse_fallbacks")).first().asDict()
-        self.store.write(root, sources=sources, chunks=chunks, edges=edges, embeddings=kept)
+        row = {"chunks_written": 0, "code_parse_fallbacks": 0}
+        if report["indexed"] or report["removed"] or report["rejected"] or state["root"] is None:
+            fresh = now.join(changes.where("action = 'indexed'").select("path"), "path", "left_semi")
+            made = code.extract(fresh.select("path", "content_hash", "text")).cache()
+            row = made.agg(F.count(F.lit(1)).alias("chunks_written"), F.countDistinct(F.when(F.col("fallback"), F.col("source_path"))).alias("code_parse_fallbacks")).first().asDict()
+            chunks = made.select(*[c.split()[0] for c in schema.CHUNKS.split(", ")])
+            owners = made.select("id", F.col("source_path").alias("owner"))
+            self.store.change(
+                root, changes.where("action <> 'unchanged' and old_hash is not null").select("path"), base=state, sources=fresh.select("path", "content_hash", "extractor"), chunks=chunks,
+                edges=code.edges_of(made).join(owners, F.col("src_chunk_id") == F.col("id")).drop("id"),
+                postings=lexical.postings(chunks).join(owners, "id"), lengths=lexical.lengths(chunks).join(owners, "id"),
+            )
+            made.unpersist()
         changes.unpersist()
-        made.unpersist()
         return report | row
 
     def refresh_source(self, root: str, path: str) -> str:
         """Bring one source up to date: reindexed, pruned or unchanged."""
         path = corpus.confined(root, path)
         live = corpus.read_files(self.spark, root, [path] if os.path.isfile(os.path.join(root, path)) else [])
-        report = self.index_sources(live, os.path.realpath(root), only=[path])
+        report = self.index_sources(live, os.path.realpath(root), only=self.spark.createDataFrame([(path,)], "path string"))
         return "reindexed" if report["indexed"] else "pruned" if report["removed"] or report["rejected"] else "unchanged"
 
     def refresh_embeddings(self) -> dict:
         if self.provider is None:
             raise schema.MissingEmbeddings("no provider")
-        chunks, old = self.store.read("chunks"), self.store.read("embeddings")
-        todo = vector.missing(chunks, old, self.provider.model_id).count()
-        removed = old.where(F.col("model_id") != self.provider.model_id).count()
-        self.store.write(None, embeddings=vector.refreshed(chunks, old, self.provider))
+        state = self.store.state()
+        chunks, old = self.store.read("chunks", state), self.store.read("embeddings", state)
+        missing = vector.missing(chunks, old, self.provider.model_id)
+        todo, removed = missing.count(), old.where(F.col("model_id") != self.provider.model_id).count()
+        if todo or removed:
+            # Without rows of other models the missing vectors are added; with them the table is replaced.
+            made = vector.refreshed(chunks, old, self.provider) if removed else vector.embed(missing, self.provider)
+            owners = chunks.select(F.col("id").alias("chunk_id"), F.col("source_path").alias("owner"))
+            self.store.change(None, replaces=("embeddings",) if removed else (), base=state, embeddings=made.join(owners, "chunk_id"))
         now = self.store.read("embeddings")
         row = now.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0)).alias("bytes")).first()
         return {"model_id": self.provider.model_id, "dimensions": self.provider.dimensions, "embedded": todo, "unchanged": row["n"] - todo, "removed_other_models": removed, "storage_bytes": row["bytes"]}
@@ -82,13 +90,14 @@ class Engine:
 
     def search(self, queries: DataFrame, limit: int = 10, strategy: str = "reranked", profile: str = "balanced") -> DataFrame:
         """Ranked hits of a table of queries (query_id, query)."""
-        chunks = self.store.read("chunks")
+        state = self.store.state()
+        chunks, index_ = self.store.read("chunks", state), lexical.Index(self.store.read("postings", state), self.store.read("lengths", state))
         if strategy == "substring":
             return lexical.find_substring(chunks, queries, limit)
         if strategy == "fts":
-            return lexical.find_bm25(chunks, queries, limit)
+            return lexical.find_bm25(chunks, queries, limit, index_)
         if strategy == "reranked" or strategy == "routed" and not self.has_embeddings():
-            return lexical.find_reranked(chunks, queries, limit)
+            return lexical.find_reranked(chunks, queries, limit, index_)
         if strategy not in STRATEGIES:
             raise ValueError(strategy)
         if not self.has_embeddings():
@@ -96,7 +105,7 @@ class Engine:
         if strategy == "vector":
             return vector.find_vector(chunks, self.store.read("embeddings"), queries, self.provider, limit)
         many = hybrid.candidate_limit(limit)
-        own = lexical.find_reranked(chunks, queries, many).select("query_id", "id", "score", "rank")
+        own = lexical.find_reranked(chunks, queries, many, index_).select("query_id", "id", "score", "rank")
         near = vector.find_vector(chunks, self.store.read("embeddings"), queries, self.provider, many).select("query_id", "id", "score", "rank")
         return hybrid.blend(own, near, chunks, profiles_of(queries, profile if strategy == "hybrid" else None), limit)
 
@@ -111,11 +120,11 @@ class Engine:
         """Headers of one query without bodies, within the byte budget."""
         return headers.budgeted(self.find(query, headers.capped_limit(limit), strategy)).orderBy("rank")
 
-    def related(self, symbol: str, direction: str = "callers") -> DataFrame:
+    def related(self, symbol: str, direction: str = "callers", limit: int | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(symbol,)], "symbol string")
         if direction not in ("callers", "callees"):
             raise ValueError(direction)
-        return getattr(graph, direction)(self.store.read("chunks"), self.store.read("edges"), asked)
+        return getattr(graph, direction)(self.store.read("chunks"), self.store.read("edges"), asked, limit)
 
     def live(self, root: str, paths: list[str]) -> DataFrame:
         """(path, content_hash, text, problem, size) of paths as they are now."""

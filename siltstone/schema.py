@@ -11,8 +11,11 @@ EDGES = (
     "src_chunk_id string, edge_type string, dst_symbol string, confidence string, byte_start bigint, byte_end bigint, line_start bigint, line_end bigint"
 )
 EMBEDDINGS = "chunk_id string, model_id string, dimensions int, vector array<float>"
+#: The inverted index: one row for each term of a chunk, and the terms of every chunk.
+POSTINGS = "term string, id string, dl int, positions array<int>"
+LENGTHS = "id string, dl int"
 #: Version of the stored layout; an older one is upgraded on open, a newer one refused.
-VERSION = 5
+VERSION = 6
 #: The order that breaks every tie between hits.
 TOTAL_ORDER = ("source_path", "byte_start", "id")
 
@@ -53,6 +56,10 @@ class CorpusMismatch(EngineError):
     pass
 
 
+class StoreConflict(EngineError):
+    """Two writers began from one state."""
+
+
 class InvalidRoot(EngineError):
     pass
 

@@ -36,5 +36,13 @@ def related(path: str, symbol: str, direction: str, results: int) -> None:
     append(path, "find_related", f'symbol="{symbol}"  direction={direction}  results={results}')
 
 
+def served(path: str, model: str | None, embeddings: str) -> None:
+    append(path, "serve start", f"model={model or 'none'}  embeddings={embeddings}")
+
+
+def listed(path: str, count: int) -> None:
+    append(path, "list_corpora", f"count={count}")
+
+
 def failed(path: str, kind: str, detail: str, message: str) -> None:
     append(path, kind, f'{detail}  status=error  msg="{message}"')

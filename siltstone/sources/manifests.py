@@ -23,8 +23,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of a log's lines, in order of file, place and line."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.select(F.row_number().over(Window.orderBy("at")).cast("bigint").alias("line_no"), "value")
+    at = F.monotonically_increasing_id()  # the split in the upper bits, the line in it in the lower 33
+    lines = spark.read.text(path).withColumn("at", at).select("value", F.shiftright("at", 33).alias("split"), F.col("at").bitwiseAND((1 << 33) - 1).alias("place"))
+    # One row for each split.
+    before = F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select("split", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(splits, "split").select((F.col("before") + F.col("place") + 1).alias("line_no"), "value")
 
 
 def check_name(name: str) -> str:

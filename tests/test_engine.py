@@ -177,3 +177,113 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert main([*base, "setup", "one", str(tree)]) == 0 and main([*base, "list"]) == 0 and main([*base, "delete", "one"]) == 0
     out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert out[0]["indexed"] == 5 and out[1]["source_path"] == "a.txt" and "text" not in out[1] and out[2]["name"] == "one"
+
+
+def sources(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, content binary")
+
+
+def test_a_change_writes_its_own_rows_and_keeps_postings(spark, tmp_path):
+    from siltstone.operators import lexical
+
+    engine = Engine(spark, str(tmp_path / "db"), KeywordProvider())
+    engine.index_sources(sources(spark, *((f"{i}.txt", f"alpha word{i}\n\nsecond {i}\n".encode()) for i in range(30))), "/r")
+    engine.refresh_embeddings()
+    report = engine.index_sources(sources(spark, ("3.txt", b"changed words\n"), ("new.txt", b"alpha new\n")), only=spark.createDataFrame([("3.txt",), ("new.txt",), ("4.txt",)], "path string"))
+    assert (report["indexed"], report["removed"], report["chunks_written"]) == (2, 1, 2)
+    part = engine.store.state()["parts"][-1]
+    assert spark.read.parquet(f"{tmp_path}/db/{part['name']}/chunks").count() == 2
+    chunks = engine.store.read("chunks")
+    plain = lambda df: sorted(map(str, df.collect()))
+    order = ["term", "id", "dl", "positions"]
+    assert chunks.count() == 28 * 2 + 2 and plain(engine.store.read("postings").select(*order)) == plain(lexical.postings(chunks).select(*order))
+    assert plain(engine.store.read("lengths").select("id", "dl")) == plain(lexical.lengths(chunks))
+    assert engine.store.read("embeddings").count() == 28 * 2 and engine.refresh_embeddings()["embedded"] == 2
+    before = {t: plain(engine.store.read(t)) for t in ("sources", "chunks", "edges", "embeddings", "postings", "lengths")}
+    assert engine.find("changed").count() == 1 and engine.find("word4").count() == 0
+    engine.store.compact()
+    assert {t: plain(engine.store.read(t)) for t in before} == before and len(engine.store.state()["parts"]) == 1
+    assert engine.store.vacuum() and len(engine.store.versions()) == 1 and plain(engine.store.read("chunks")) == before["chunks"]
+    same = engine.index_sources(sources(spark, ("new.txt", b"alpha new\n")), only=spark.createDataFrame([("new.txt",)], "path string"))
+    assert (same["unchanged"], same["chunks_written"]) == (1, 0) and len(engine.store.versions()) == 1  # nothing is written
+
+
+def test_two_writers_and_a_crash(spark, tmp_path, monkeypatch):
+    from siltstone.operators.store import Store
+
+    engine = Engine(spark, str(tmp_path / "db"))
+    engine.index_sources(sources(spark, ("a.txt", b"one\n")), "/r")
+    one, two = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    state, rows = one.state(), spark.createDataFrame([("b.txt", "h", "x")], schema.SOURCES)
+    assert one.change(None, base=state, sources=rows) == state["version"] + 1
+    with pytest.raises(schema.StoreConflict):
+        two.change(None, base=state, sources=rows.withColumn("path", rows["content_hash"]))
+    assert sorted(r["path"] for r in two.read("sources").collect()) == ["a.txt", "b.txt"]
+    # A writer that dies before it publishes leaves the state in force, and no one trips over its files.
+    monkeypatch.setattr(Store, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        one.change(None, sources=rows)
+    monkeypatch.undo()
+    assert one.state()["version"] == 2 and one.read("sources").count() == 2
+    assert one.change(None, dropped=spark.createDataFrame([("b.txt",)], "path string")) == 3 and one.read("sources").count() == 1
+    assert [n for n in one.vacuum() if n.startswith("part-")] and one.read("sources").count() == 1
+    with pytest.raises(schema.CorpusMismatch):
+        one.change("/other", sources=rows)
+
+
+def test_older_layouts_are_filled_and_newer_ones_refused(spark, tmp_path):
+    from siltstone.operators.store import Store
+
+    store = Store(spark, str(tmp_path / "db"))
+    spark.createDataFrame([("a.txt", "h")], "path string, content_hash string").write.parquet(str(tmp_path / "db/old/sources"))
+    state = {"version": 1, "root": "/r", "layout": 3, "parts": [{"name": "old", "tables": ["sources"], "drops": False}]}
+    (tmp_path / "db/state-1.json").write_text(json.dumps(state))
+    assert [tuple(r) for r in store.read("sources").collect()] == [("a.txt", "h", None)] and store.read("postings").count() == 0
+    (tmp_path / "db/state-2.json").write_text(json.dumps(state | {"version": 2, "layout": schema.VERSION + 1}))
+    with pytest.raises(schema.UnsupportedSchemaVersion):
+        store.state()
+
+
+def test_the_latest_content_of_a_batch_wins(spark, tmp_path):
+    from siltstone.streaming.ingest import ingest
+
+    kind = "path string, content binary, at bigint"
+    spark.createDataFrame([("a.txt", b"zzz old\n", 1), ("a.txt", b"aaa new\n", 2), ("b.txt", b"b\n", 1)], kind).write.parquet(str(tmp_path / "in"))
+    engine = Engine(spark, str(tmp_path / "db"))
+    ingest(engine, spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), order="at").awaitTermination()
+    assert sorted(r["text"] for r in engine.store.read("chunks").collect()) == ["aaa new\n", "b\n"]
+
+
+def test_log_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {i} {'x' * 50}" for i in range(3000)]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "20000")
+        log = manifests.read_log(spark, str(tmp_path / "log.txt"))
+        assert spark.read.text(str(tmp_path / "log.txt")).rdd.getNumPartitions() > 3
+        assert [(r["line_no"], r["value"]) for r in log.orderBy("line_no").collect()] == list(enumerate(lines, 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_serve_answers_lines(spark, tree, tmp_path):
+    import argparse
+    import io
+
+    from siltstone.__main__ import serve
+    from siltstone.operators import observe
+
+    engine, a = Engine(spark, str(tmp_path / "db")), argparse.Namespace(log=str(tmp_path / "log"), registry=str(tmp_path / "reg"), root=str(tree))
+    engine.index(str(tree))
+    asked = [{"id": 1, "method": "find", "params": {"query": "alpha"}}, {"id": 2, "method": "find_related", "params": {"symbol": "helper"}}, {"id": 3, "method": "list_corpora"}, {"id": 4, "method": "find", "params": {"query": " "}}]
+    answers = io.StringIO()
+    serve(engine, a, [json.dumps(x) for x in asked] + ["no json"], answers)
+    got = [json.loads(x) for x in answers.getvalue().splitlines()]
+    assert got[0]["result"][0]["source_path"] == "a.txt" and got[1]["result"][0]["caller"] == "caller" and got[2]["result"] == []
+    assert got[3]["error"].startswith("EmptyQuery") and "error" in got[4]
+    log = observe.parsed(manifests.read_log(spark, str(tmp_path / "log")))
+    assert [r["kind"] for r in log.orderBy("line_no").collect()][:4] == ["serve start", "find", "find_related", "list_corpora"]
+    assert observe.last_serve(log).first()[0]
