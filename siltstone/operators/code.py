@@ -1,9 +1,10 @@
 """Source code to chunks, symbols and call edges, by scanners of top-level items.
 
 No parser library is at hand, so each language has a scanner of its own: Python is read by
-the standard ``ast``; the others blank out strings and comments and then follow brackets
-(Rust, TypeScript) or block words (Ruby).  A file without any item falls back to plain text.
-Scanning runs in ``mapInPandas``, a file at a time.
+the standard ``ast``, and a file that it refuses by indentation, so one error costs its own item
+only; the others blank out strings, regular expressions, here-documents and comments and then
+follow brackets (Rust, TypeScript) or block words (Ruby).  A file without any item falls back to
+plain text.  Scanning runs in ``mapInPandas``, a file at a time.
 """
 
 from __future__ import annotations
@@ -25,12 +26,23 @@ _RUBY_OPEN = re.compile(r"^(?:class|module|def)\b")
 _RUBY_WORD = re.compile(r"(?<![\w.:@$])(class|module|def|do|if|unless|while|until|case|begin|for|end)(?![\w?!:])")
 # Words that look like calls in Rust but are not.
 _RUST_WORDS = set("if while for match return loop fn in as let mut ref move else unsafe where impl dyn struct enum union trait type use pub crate self Self super box await yield break continue".split())
-_RUST_CALL = re.compile(r"(?<![\w])((?:[A-Za-z_]\w*\s*::\s*(?:<[^<>()]*>\s*::\s*)?)*)([A-Za-z_]\w*)(\s*!(?!=)\s*(?=[(\[{])|(?:\s*::\s*<[^<>()]*(?:<[^<>()]*>[^<>()]*)*>)?\s*\()")
+_GENERIC = r"<[^<>;{}]*>"
+for _ in range(5):  # levels of nesting
+    _GENERIC = rf"<(?:[^<>;{{}}]|{_GENERIC})*>"
+_RUST_CALL = re.compile(rf"(?<![\w#])((?:(?:r#)?[A-Za-z_]\w*\s*::\s*(?:{_GENERIC}\s*::\s*)?)*)((?:r#)?[A-Za-z_]\w*)(\s*!(?!=)\s*(?=[(\[{{])|(?:\s*::\s*{_GENERIC})?\s*\()")
+_RAW_STRING = re.compile(r'b?r(#*)"')
+_CHARACTER = re.compile(r"'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'")
+# A slash begins a regular expression behind one of these, and not behind a value.
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>\n]|\b(?:return|typeof|case|in|of|if|unless|when|and|or|not|while|until|then))[ \t]*\Z")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_PERCENT = re.compile(r"%[wWiIqQr]?([\[({<|!/])")
+_HEREDOC = re.compile(r"<<[~-]?([\"'`]?)([A-Z_][A-Za-z0-9_]*)\1")
+_PAIRS = {"[": "]", "(": ")", "{": "}", "<": ">"}
 
 
 def masked(text: str, language: str) -> str:
     """The text with the insides of comments and strings blanked, every other place kept."""
-    out, i, n = list(text), 0, len(text)
+    out, i, n, here = list(text), 0, len(text), []
 
     def blank(a: int, b: int) -> None:
         for k in range(a, min(b, n)):
@@ -54,7 +66,31 @@ def masked(text: str, language: str) -> str:
         elif language == "ruby" and text.startswith("=begin", i) and (i == 0 or text[i - 1] == "\n"):
             end = text.find("\n=end", i)
             end = n if end < 0 else end + 5
-        elif language == "rust" and (m := re.compile(r'b?r(#*)"').match(text, i)) and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_")):
+        elif here and c == "\n":  # the bodies of the here-documents of this line follow it
+            end = i + 1
+            for name in here:
+                m = re.compile(rf"^[ \t]*{name}[ \t]*$", re.M).search(text, end)
+                end = m.end() if m else n
+            here = []
+        elif language == "ruby" and two == "<<" and (m := _HEREDOC.match(text, i)):
+            here.append(m[2])
+            end = m.end()
+        elif language == "ruby" and c == "%" and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "_)] ")  or text[i - 1] == " " and text[i + 1 : i + 2] != " ") and (m := _PERCENT.match(text, i)):
+            close, depth, end = _PAIRS.get(m[1], m[1]), 1, m.end()
+            while end < n and depth:
+                if text[end] == "\\":
+                    end += 1
+                elif text[end] == close:
+                    depth -= 1
+                elif text[end] == m[1]:
+                    depth += 1
+                end += 1
+        elif language != "rust" and c == "/" and _BEFORE_REGEX.search(text, max(0, i - 24), i) and (m := _REGEX.match(text, i)):
+            end = m.end()
+        elif language == "ts" and c in "\"'" and not re.compile(rf"{c}(?:\\[\s\S]|[^{c}\\\n])*{c}").match(text, i):
+            i += 1  # an apostrophe of JSX text: no string of this language goes over a line's end
+            continue
+        elif language == "rust" and (m := _RAW_STRING.match(text, i)) and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] == "_")):
             end = text.find('"' + m[1], m.end())
             end = n if end < 0 else end + 1 + len(m[1])
         elif c == '"' or c == "'" and language != "rust" or c == "`" and language == "ts":
@@ -62,7 +98,7 @@ def masked(text: str, language: str) -> str:
             while end < n and text[end] != c:
                 end += 2 if text[end] == "\\" else 1
             end += 1
-        elif c == "'" and (m := re.compile(r"'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'").match(text, i)):
+        elif c == "'" and (m := _CHARACTER.match(text, i)):
             end = m.end()
         else:
             i += 1
@@ -148,7 +184,7 @@ def rust(text: str):
                 head = head[k + 1 :]
             symbol = re.split(r"\bfor\b", head)[-1].split("<")[0].strip() or None
         else:
-            name = re.match(r"\s*(?:mut\s+)?([A-Za-z_]\w*)", rest)
+            name = re.match(r"\s*(?:mut\s+)?((?:r#)?[A-Za-z_]\w*)", rest)
             symbol = name[1] if name else None
         at = text.rfind("\n", 0, start) + 1
         first = _with_lines_above(text, at, lambda x: x.startswith("///")) if not text[at:start].strip() else at
@@ -173,19 +209,61 @@ def typescript(text: str):
         yield first, end, None, []
 
 
+_PYTHON_ITEM = re.compile(r"(?:async[ \t]+def|def|class)[ \t]+\w+")
+_PYTHON_STRING = re.compile(r"#[^\n]*|(\"\"\"|''')(?:\\[\s\S]|(?!\1)[\s\S])*(?:\1|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
+
+
+def _python_by_indent(text: str):
+    """Top-level items of a file with an error: from a decorator, def or class to the next line at the margin."""
+    inside = lambda m: m[0][0].replace("#", " ") + "".join(c if c == "\n" else " " if m[0][0] == "#" else "\1" for c in m[0][1:])
+    mask = _PYTHON_STRING.sub(inside, text)
+    lines, at = [], 0
+    for line in mask.splitlines(keepends=True):
+        lines.append((at, line))
+        at += len(line)
+    start, item, end = None, False, 0
+    for at, line in [*lines, (len(mask), "end")]:
+        if not line.strip():
+            continue
+        if line[0] not in " \t\1":  # at the margin, and not in a string: what was open ends
+            if item and _whole_head(mask[start:end]):
+                yield start, end, None, []
+            if not (line[0] == "@" or _PYTHON_ITEM.match(line)):
+                start, item = None, False
+                continue
+            if item or start is None:
+                start = at
+            item = line[0] != "@"
+        end = at + len(line.rstrip())
+
+
+def _whole_head(own: str) -> bool:
+    """Whether the head of an item is closed by a colon outside brackets, with a body behind it."""
+    head = _PYTHON_ITEM.search(own)
+    depth = 0
+    for k in range(head.end(), len(own)):
+        depth += (own[k] in "([{") - (own[k] in ")]}")
+        if own[k] == ":" and not depth:
+            return bool(own[k + 1 :].strip())
+        if depth < 0:
+            return False
+    return False
+
+
 def python(text: str):
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
+        yield from _python_by_indent(text)
         return
     lines = [0]
-    for line in text.splitlines(keepends=True):
+    data = text.splitlines(keepends=True)
+    for line in data:
         lines.append(lines[-1] + len(line))
-    data = [line.encode() for line in text.splitlines(keepends=True)]
     for node in tree.body:
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             top = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            end = lines[node.end_lineno - 1] + len(data[node.end_lineno - 1][: node.end_col_offset].decode())
+            end = lines[node.end_lineno - 1] + len(data[node.end_lineno - 1].encode()[: node.end_col_offset].decode())
             yield lines[top - 1], end, None, []
 
 

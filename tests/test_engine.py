@@ -57,6 +57,37 @@ def test_python_and_ruby_items():
     assert code.scan("b.py", "h", "def broken(", "tree-sitter-python-v1") == []
 
 
+def texts(path, text, extractor):
+    return [r["text"] for r in code.scan(path, "h", text, extractor)]
+
+
+def test_an_error_costs_its_own_item_only():
+    first, second = "@deco\ndef one(a):\n    return '''\ndef inside(): pass\n'''", "class Two:\n    x = (1,\n  2)\n\n    def m(self): pass"
+    text = f"import os\n{first}\n\n{second}\nx = = 1\ndef broken(:\n    pass\nasync def three(): return 3  # end\n"
+    assert texts("a.py", text, "tree-sitter-python-v1") == [first, second, "async def three(): return 3"]
+    whole = text.replace("x = = 1\ndef broken(:\n    pass\n", "")
+    assert texts("a.py", whole, "tree-sitter-python-v1") == texts("a.py", text, "tree-sitter-python-v1")
+
+
+def test_typescript_regular_expressions_and_jsx_text():
+    items = ["function f() { return /[/}\"]{2}\\/'/g.test(x) ? a / b : c / d; }", "export function View() {\n  return <p>it's {n} o'clock</p>;\n}", "class Z { m() { if (/}/.test(s)) {} } }"]
+    assert texts("a.tsx", "import a from 'b';\n" + "\n".join(items) + "\n", "tree-sitter-tsx-v1") == items
+
+
+def test_ruby_here_documents_words_and_regular_expressions():
+    items = [
+        "def a\n  x = <<~SQL + b(<<-TXT)\n    select end from def\n  SQL\n    if while\n  TXT\n  y\nend",
+        "def b\n  %w[end def if].each { |w| p w =~ /end if/ }\n  q = n % 3\nend", "class C\n  class << self\n    def d; end\n  end\nend",
+    ]
+    assert texts("a.rb", "\n\n".join(items) + "\n", "tree-sitter-ruby-v1") == items
+
+
+def test_rust_raw_identifiers_and_deep_generics():
+    text = "fn r#match(a: u8) { r#type(a); build::<Vec<Vec<Option<u8>>>>(a); pair::<(u8, u8)>(a); let s = r#\"call()\"#; }\n"
+    row = code.scan("a.rs", "h", text, "tree-sitter-rust-v1")[0]
+    assert row["symbol"] == "r#match" and [e["dst_symbol"] for e in row["edges"]] == ["r#type", "build", "pair"]
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "corpus"
