@@ -4,7 +4,7 @@ No parser library is at hand, so each language has a scanner of its own: Python
 the standard ``ast``, and a file that it refuses by indentation, so one error costs its own item
 only; the others blank out strings, regular expressions, here-documents and comments and then
 follow brackets (Rust, TypeScript) or block words (Ruby).  A file without any item falls back to
-plain text.  Scanning runs in ``mapInPandas``, a file at a time.
+plain text.  Scanning runs in ``mapInArrow``, a file at a time.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import ast
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import CHUNKS
 from .chunking import PLAIN, chunk_plain, extractor_id, id_of
@@ -318,17 +319,18 @@ _EDGE = "struct<src_chunk_id:string,edge_type:string,dst_symbol:string,confidenc
 def extract(sources: DataFrame) -> DataFrame:
     """Chunks of sources (path, content_hash, text) with ``edges`` and ``fallback``, each by its path's extractor."""
     told = sources.select("path", "content_hash", "text").withColumn("extractor", extractor_id(F.col("path")))
-    columns = [c.split()[0] for c in CHUNKS.split(", ")]
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for path, source_hash, text, extractor in zip(frame["path"], frame["content_hash"], frame["text"], frame["extractor"], strict=True):
-                got = scan(path, source_hash, text, extractor)
-                rows += got or [{"source_path": path, "source_hash": source_hash, "text": text, "edges": []}]
-            yield pd.DataFrame(rows, columns=[*columns, "edges"])
-
-    scanned = told.where(F.col("extractor") != PLAIN).mapInPandas(run, f"{CHUNKS}, edges array<{_EDGE}>")
+    made = f"{CHUNKS}, edges array<{_EDGE}>"
+    schema = to_arrow_schema(sources.sparkSession.createDataFrame([], made).schema)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for path, source_hash, text, extractor in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    rows += scan(path, source_hash, text, extractor) or [{"source_path": path, "source_hash": source_hash, "text": text, "edges": []}]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    scanned = told.where(F.col("extractor") != PLAIN).mapInArrow(run, made)
     code = scanned.where(F.col("id").isNotNull()).withColumn("fallback", F.lit(False))
     fallen = scanned.where(F.col("id").isNull()).select(F.col("source_path").alias("path"), F.col("source_hash").alias("content_hash"), "text")
     none = F.array().cast(f"array<{_EDGE}>")

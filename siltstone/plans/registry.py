@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import chunking, evaluate, graph, headers, hybrid, index, lexical, observe, retrieve, vector
 from ..sources.corpus import from_documents
 from ..sources.scan import spread
+from . import registry_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -416,3 +417,7 @@ def page_links(spark, sf_dir):
 def corpus_status(spark, sf_dir):
     stored = _t(spark, sf_dir, "embeddings").select(F.lit("m").alias("model_id"))
     return index.status(_sources(spark, sf_dir), _chunks(spark, sf_dir), stored, _t(spark, sf_dir, "pages"))
+
+
+QUERIES |= registry_code.QUERIES
+ORACLES |= registry_code.ORACLES
