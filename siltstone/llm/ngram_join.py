@@ -16,7 +16,9 @@ at a Jaccard similarity of ``NUM / DEN`` or more.  Documents with equal sets are
    column chunks; only a spanning forest of the links leaves the task.
 3. Column blocks: the product restricted to where it can still matter.  Under one order of
    all shingles (rare first), two sets that link share one among their first
-   ``n - ceil(n NUM / DEN) + 1``.  Those prefixes are dealt by shingle to column blocks;
+   ``n - ceil(n NUM / DEN) + 1``.  Those prefixes are dealt by shingle to column blocks (a
+   column of more than ``HOT_COLUMN`` documents only if it joins several components, and then
+   by pairs of sub-blocks, so no task has the whole of it);
    inside a column, pairs that step 2 has connected already, pairs outside the size bound
    and pairs whose remaining shingles cannot reach the needed overlap are discarded, then
    pairs that their bitmaps rule out.  What is left has its overlap counted in full.
@@ -58,6 +60,9 @@ MAX_COMMON = 1 << 19
 #: Prefix entries of a column block, and the least number of blocks.
 BLOCK_ENTRIES = 1 << 21
 LEAST_BLOCKS = 16
+#: A shingle counted more often is a hot column; rows of a sub-block of one.
+HOT_COLUMN = 1 << 15
+SUB_ROWS = 1 << 13
 #: Least and most buckets of the bitmaps that pre-filter rows, eight for each wanted row between; a collision only costs time.
 BITMAP = 1 << 23
 MAX_BITMAP = 1 << 27
@@ -398,6 +403,66 @@ def column_pairs(h: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray,
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
 
 
+def _mixed(*values: int) -> int:
+    """A hash of whole numbers, not negative, above the numbers of plain blocks."""
+    return (xxhash.xxh3_64_intdigest(np.array(values, dtype=np.uint64).tobytes()) >> 2) | (1 << 61)
+
+
+class _HotColumns:
+    """Where the entries of hot columns go; ``found`` has the columns that join several labels."""
+
+    def __init__(self, values: np.ndarray, found: dict[int, tuple[int, int, int]] | None = None) -> None:
+        self.values, self.found = values, found or {}
+
+    def blocks(self, h: np.ndarray, node: int, label: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(block, place) of each copy of the entries ``h`` of a row.
+
+        A hot column of one label has no pair to find.  In another, the rows of its commonest label
+        meet only the rest, in a grid of sub-blocks, and the rest meets itself by pairs of sub-blocks.
+        """
+        block, at = (h % np.uint64(blocks)).astype(np.int64), np.arange(len(h))
+        if not len(self.values):
+            return block, at
+        hot = self.values[np.minimum(np.searchsorted(self.values, h), len(self.values) - 1)] == h
+        if not hot.any():
+            return block, at
+        more = []
+        for place in np.flatnonzero(hot).tolist():
+            value = int(h[place])
+            if value not in self.found:
+                continue
+            base, of_base, of_rest = self.found[value]
+            own = _mixed(node, value)
+            if label == base:
+                more += [(_mixed(value, 0, own % of_base, j), place) for j in range(of_rest)]
+            else:
+                j = own % of_rest
+                more += [(_mixed(value, 0, i, j), place) for i in range(of_base)]
+                more += [(_mixed(value, 1, min(j, q), max(j, q)), place) for q in range(of_rest)]
+        extra, where = (np.array(c, dtype=np.int64) for c in zip(*more, strict=True)) if more else (np.zeros(0, dtype=np.int64),) * 2
+        return np.concatenate([block[~hot], extra]), np.concatenate([at[~hot], where])
+
+
+def _hot_columns(prefixed: DataFrame, values: np.ndarray) -> _HotColumns:
+    """The labels of each hot column are counted where its entries lie; one row for each column that has several is collected."""
+    shared = prefixed.sparkSession.sparkContext.broadcast(values)
+
+    def count(batches):
+        known = shared.value
+        for batch in batches:
+            h, sizes = _bytes_of(batch.column("shingles"))
+            h = h.view(np.uint64)
+            label = np.repeat(batch.column("label").to_numpy(), sizes // 8)
+            hot = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            keys, counts = np.unique(np.stack([h[hot].view(np.int64), label[hot]], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(counts)], ["h", "label", "n"])
+
+    labels = prefixed.select("label", "shingles").mapInArrow(count, "h bigint, label bigint, n bigint").groupBy("h", "label").agg(F.sum("n").alias("n"))
+    found = labels.groupBy("h").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("labels > 1").collect()
+    parts = lambda n: max(1, -(-n // SUB_ROWS))
+    return _HotColumns(values, {r["h"] % 2**64: (r["most"]["label"], parts(r["most"]["n"]), parts(r["n"] - r["most"]["n"])) for r in found})
+
+
 def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_entries: int) -> DataFrame:
     """Links (a, b) of labels among classes that the row blocks have not connected; ``classes`` has their labels."""
     spark = documents.sparkSession
@@ -424,15 +489,24 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
                 )
 
     blocks = max(LEAST_BLOCKS, -(-n_entries // BLOCK_ENTRIES))
+    rows = documents.select("text").mapInArrow(prefixes, "k1 bigint, k2 bigint, n bigint, shingles binary").dropDuplicates(["k1", "k2"])
+    prefixed = rows.join(classes.select("k1", "k2", "node", "label"), ["k1", "k2"]).select("node", "label", "n", "shingles")
+    hot_values = np.sort(shared.value[0][shared.value[1] > HOT_COLUMN])
+    columns = _HotColumns(hot_values)
+    if len(hot_values):
+        prefixed = materialise(prefixed, "ngram-prefixes")
+        columns = _hot_columns(prefixed, hot_values)
+    hot_shared = spark.sparkContext.broadcast(columns)
 
     def deal(batches):
+        hot_columns = hot_shared.value
         for batch in batches:
             out = []
             for node, label, n, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "n", "shingles")), strict=True):
                 h = np.frombuffer(shingles, dtype=np.uint64)
-                block = (h % np.uint64(blocks)).astype(np.int64)
+                block, at = hot_columns.blocks(h, node, label, blocks)
                 order = np.argsort(block, kind="stable")
-                block, pos, h = block[order], order.astype("<u4"), h[order]
+                block, pos, h = block[order], at[order].astype("<u4"), h[at[order]]
                 edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(h)).tolist()
                 out += [(int(block[a]), node, label, n, h[a:b].tobytes(), pos[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
                 if len(out) >= 20_000:
@@ -466,11 +540,9 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
         if held:
             yield solved()
 
-    rows = documents.select("text").mapInArrow(prefixes, "k1 bigint, k2 bigint, n bigint, shingles binary").dropDuplicates(["k1", "k2"])
     pair = "a bigint, b bigint, la bigint, lb bigint"
     candidates = materialise(
-        rows.join(classes.select("k1", "k2", "node", "label"), ["k1", "k2"]).select("node", "label", "n", "shingles")
-        .mapInArrow(deal, "block int, node bigint, label bigint, n bigint, shingles binary, pos binary")
+        prefixed.mapInArrow(deal, "block bigint, node bigint, label bigint, n bigint, shingles binary, pos binary")
         .repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(pairs, pair).distinct(),
         "ngram-candidates",
     )
@@ -506,7 +578,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "node", "label", "n", "shingles", "pos"])
 
 

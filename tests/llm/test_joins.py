@@ -54,7 +54,7 @@ def brute(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_equals_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # small blocks and chunks, so every path is taken
-        for name, value in (("ROWS", 4), ("CHUNK", 400), ("LOCAL_COUNT", 2), ("COMMON_LEAST", 4), ("BLOCK_ENTRIES", 500), ("BITMAP", 64)):
+        for name, value in (("ROWS", 4), ("CHUNK", 400), ("LOCAL_COUNT", 2), ("COMMON_LEAST", 4), ("BLOCK_ENTRIES", 500), ("BITMAP", 64), ("HOT_COLUMN", 5), ("SUB_ROWS", 2)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = fixture(seed)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_shingles", F.lit("clash")).repartition(3)
@@ -74,6 +74,25 @@ def test_ngram_join_odd_tables(spark):
     assert sorted(str((r["doc_id"], r["text"])) for r in kept) == ["(5, 'a b c d e f')", "(7, None)", "(None, 'q r s t u v')", "(None, None)"]
 
 
+def test_pairs_of_hot_columns_meet(monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(ngram_join, "SUB_ROWS", 4)
+    for base_rows, other_rows in ((30, 9), (3, 2), (10, 40)):
+        rows = [(k, 1000) for k in range(base_rows)] + [(500 + k, 2000 + rng.randrange(4)) for k in range(other_rows)]
+        parts = lambda n: max(1, -(-n // ngram_join.SUB_ROWS))
+        columns = ngram_join._HotColumns(np.array([7, 9], dtype=np.uint64), {7: (1000, parts(base_rows), parts(other_rows))})
+        held = {}
+        for node, label in rows:
+            block, at = columns.blocks(np.array([7, 9, 12], dtype=np.uint64), node, label, 16)
+            assert sorted(set(at.tolist())) == [0, 2] and block[at == 2].tolist() == [12]  # a column of one label is left out
+            for b in block[at == 0].tolist():
+                held.setdefault(b, set()).add((node, label))
+        met = {frozenset((x, y)) for own in held.values() for x in own for y in own if x != y}
+        assert all(frozenset((x, y)) in met for x in rows for y in rows if x[1] != y[1])
+        if len(rows) > 30:
+            assert max(map(len, held.values())) < len(rows) - 4
+
+
 def test_one_of_each_with_repeated_ids(spark):
     one, two, three = ("a b c d e f g h", "q r s t u v w x", "k l m n o p y z")
     rows = [(5, one, 3), (5, two, 1), (5, one, 2), (6, one, 0), (8, two, 0), (9, three, 7), (9, None, 4), (9, "", 5)]
