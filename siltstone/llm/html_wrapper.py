@@ -46,6 +46,8 @@ from ._common import materialise
 MAX_DEPTH = 200
 #: Child lists whose product of lengths is larger are not aligned; their nodes are counted by path.
 MAX_CELLS = 250_000
+#: Values of all references or templates that are sent to every task; more are joined with the pages by host.
+SENT_VALUES = 1 << 21
 #: Trees of a host that are merged into its reference.
 REFERENCE_TREES = 8
 #: A block is constant if it is on at least this share of the pages with its slot, and on this many.
@@ -58,6 +60,8 @@ POOL_PAGES = 10
 # Comments, declarations, whole tags, and at last tags with an unbalanced quote, which are skipped.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attributes without one of these words neither name nor mark an element.
+_TELLING = re.compile(r"class|id|role|style|hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[^a-z0-9]+")
 # Fixed values of HTML: void, raw, block and implied-end elements.
@@ -102,6 +106,8 @@ class Node:
 
 
 def _node(tag: str, attributes: str) -> Node:
+    if not _TELLING.search(attributes):
+        return Node(f"{tag}.", tag, furniture=tag in FURNITURE_TAGS, marked=tag == "form")
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes.strip(" /") else {}
     label = " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x).lower()
     names = [_WORDS.split(x) for x in label.split()]
@@ -391,7 +397,9 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     keys = ["host", "slot", "path", "main", "digest"]
     # Pages of (slot, path, digest), of (-1, path, digest), and of both without a digest.
-    seen = contents.join(references, "host").select("host", "place", "names", "parents", "at", "digests", "cores", *_REF).mapInArrow(_slot_counts, _COUNTS)
+    wanted = contents.select("host", "place", "names", "parents", "at", "digests", "cores")
+    sent = _sent(references, _REF)
+    seen = (wanted if sent else wanted.join(references, "host")).mapInArrow(lambda batches: _slot_counts(batches, sent), _COUNTS)
     once = lambda c: F.sum(F.when(F.col("core").isNull(), F.col(c)).otherwise((F.col(c) > 0).cast("bigint"))).alias(c)
     counts = materialise(
         seen.groupBy(*keys, "core").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).groupBy(*keys).agg(once("n"), once("firsts")), "wrapper-counts"
@@ -404,25 +412,37 @@ def extract(pages: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "path", "digest"))).alias("constant"))
     )
 
+    templates = materialise(references.join(constant, "host"), "wrapper-templates")
+    told = _sent(templates, [*_REF, "constant"])
+
     def by_template(batches):
-        trees = _References()
+        trees = _References([*_REF, "constant"], told)
         for part in _slices(batches):
             texts = []
-            for host, html, constant, *reference in zip(*(part.column(c).to_pylist() for c in ("host", "html", "constant", *_REF)), strict=True):
-                page = fold(parse(html))
-                if constant is None:
+            for i, (host, html) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
+                page, template = fold(parse(html)), trees.of(host, part, i)
+                if template is None:
                     texts.append(text_by_template(page, set(), frozenset()))
                     continue
                 _digest_all(page)
-                root, numbers, slots, paths = trees.of(host, *reference, constant)
+                root, numbers, slots, paths = template
                 own = {id(s): k for s, k in aligned(page, root, numbers)} if slots else {}
                 texts.append(text_by_template(page, slots, paths, own))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    templates = materialise(references.join(constant, "host"), "wrapper-templates")
-    return rows.join(templates, "host", "left").select("page_id", "url", "html", "host", "constant", *_REF).mapInArrow(by_template, "page_id bigint, url string, text string, n_chars bigint")
+    rows = rows.select("page_id", "url", "html", "host")
+    return (rows if told else rows.join(templates, "host", "left")).mapInArrow(by_template, "page_id bigint, url string, text string, n_chars bigint")
+
+
+def _sent(templates: DataFrame, columns: list[str]):
+    """What is known of each host as a broadcast, if it has at most SENT_VALUES values; None where it has more, which is joined."""
+    size = templates.agg(F.sum(sum((F.size(c) for c in columns[1:]), F.size(columns[0])))).first()[0] or 0
+    if size > SENT_VALUES:
+        return None
+    table = templates.select("host", *columns).toArrow()
+    return templates.sparkSession.sparkContext.broadcast({row["host"]: tuple(row[c] for c in columns) for row in table.to_pylist()})
 
 
 def _constant(counts: DataFrame, by: list[str], sizes: DataFrame) -> DataFrame:
@@ -475,21 +495,25 @@ def _grown(names: list[str], parents: list[int], at: list[int], digests: list[in
 
 
 class _References:
-    """Trees of the references met, with what is template of each, bounded."""
+    """Trees of the references met, with what is template of each; bounded where they come with the rows."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple] = {}
+    def __init__(self, columns: list[str], sent) -> None:
+        self.columns, self.sent, self.known = columns, sent, {}
 
-    def of(self, host: str, names, parents, at, digests, constant=()):
-        got = self.known.get(host)
-        if got is None:
+    def of(self, host: str, part: pa.RecordBatch, row: int):
+        """(root, numbers of its slots, template slots, template paths) for a row of ``part``; None where the host has none."""
+        if host not in self.known:
             if len(self.known) > 2000:
                 self.known.clear()
-            slots = _grown(names, parents, at, digests)
-            off = [(c["slot"], c["path"], c["digest"]) for c in constant]
-            got = slots[0], {id(s): k for k, s in enumerate(slots)}, {(k, d) for k, _, d in off if k >= 0}, frozenset((p, d) for k, p, d in off if k < 0), slots
-            self.known[host] = got
-        return got[:4]
+            values = self.sent.value.get(host) if self.sent else [part.column(c)[row].as_py() for c in self.columns]
+            self.known[host] = self._made(*values) if values is not None and values[-1] is not None else None
+        return self.known[host]
+
+    @staticmethod
+    def _made(names, parents, at, digests, constant=()):
+        slots = _grown(names, parents, at, digests)
+        off = [(c["slot"], c["path"], c["digest"]) for c in constant]
+        return slots[0], {id(s): k for k, s in enumerate(slots)}, {(k, d) for k, _, d in off if k >= 0}, frozenset((p, d) for k, p, d in off if k < 0)
 
 
 _REF = ["ref_names", "ref_parents", "ref_at", "ref_digests"]
@@ -538,14 +562,15 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *_TYPES], strict=True)], ["host", *_REF])
 
 
-def _slot_counts(batches):
+def _slot_counts(batches, sent):
     """Distinct page contents of each key in a batch, and those that stand for their content; core is null outside main elements."""
-    trees = _References()
+    trees = _References(_REF, sent)
     for part in _slices(batches, 1024):
         counts: dict[tuple, list[int]] = {}
-        for host, place, names, parents, at, digests, cores, *reference in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        own_columns = (part.column(c).to_pylist() for c in ("host", "place", "names", "parents", "at", "digests", "cores"))
+        for i, (host, place, names, parents, at, digests, cores) in enumerate(zip(*own_columns, strict=True)):
             slots = _grown(names, parents, at, digests)
-            root, numbers = trees.of(host, *reference)[:2]
+            root, numbers = trees.of(host, part, i)[:2]
             matched = {id(own): k for own, k in aligned(slots[0], root, numbers)}
             paths, keys = [], set()
             for slot, parent in zip(slots, parents, strict=True):

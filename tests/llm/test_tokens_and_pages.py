@@ -213,6 +213,15 @@ def test_template_decides_inside_main_elements(spark):
     assert got[12:] == [f"N\n{words(99)}\na shared line\nedit {i}" for i in range(6)]
 
 
+def test_templates_beyond_the_sent_size_are_joined(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    both = []
+    for most in (html_wrapper.SENT_VALUES, 0):
+        monkeypatch.setattr(html_wrapper, "SENT_VALUES", most)
+        both.append(sorted((r["page_id"], r["text"]) for r in html_wrapper.extract(pages).collect()))
+    assert both[0] == both[1] and len(both[0]) == 250
+
+
 def test_copies_count_once(spark):
     page = "<html><body>{0}<div class=x>{1}</div></body></html>"
     same, others = page.format("loose", "copied text"), [page.format(f"own {i}", f"text {i}") for i in range(2)]
