@@ -9,6 +9,7 @@ SPREAD_BYTES = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if its scan is smaller than a split; a larger table is left as its splits are."""
+    """``df`` dealt over all cores if its scan is smaller than a split and not cut finely already; a larger table is left as its splits are."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) < SPREAD_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if int(str(size)) < SPREAD_BYTES and df._jdf.rdd().getNumPartitions() <= 2 * cores else df
