@@ -47,11 +47,11 @@ def encode(ids: np.ndarray) -> bytes:
     start = np.zeros(blocks + 1, dtype=np.int64)
     np.cumsum(width.astype(np.int64) * (BLOCK // 8), out=start[1:])
     packed = np.zeros(int(start[-1]), dtype=np.uint8)
-    low = np.where(outlier, 0, rest)
+    low = np.where(outlier, 0, rest).astype("<u4")
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            spread = ((low[rows][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(rows), -1)
+            spread = np.unpackbits(low[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, count=int(w), bitorder="little").reshape(len(rows), -1)
             packed[start[rows][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(spread, axis=1, bitorder="little")
     _, place = np.nonzero(outlier)
     exc = np.zeros(blocks + 1, dtype=np.int64)
@@ -86,8 +86,9 @@ def decode(image: bytes) -> np.ndarray:
         if w:
             rows = np.flatnonzero(width == w)
             bytes_ = packed[start[rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
-            spread = np.unpackbits(bytes_, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            rest[rows] = spread.astype(np.int64) @ (1 << np.arange(int(w), dtype=np.int64))
+            spread = np.zeros((len(rows), BLOCK, 32), dtype=np.uint8)
+            spread[:, :, :w] = np.unpackbits(bytes_, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
+            rest[rows] = np.packbits(spread, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
     owner = np.repeat(np.arange(len(base)), np.diff(exc.astype(np.int64)))
     rest[owner, place] = value
     return (rest + base[:, None]).reshape(-1)[:n].astype("<u4")
