@@ -18,8 +18,10 @@ Running sums go over hash buckets of bounded size, shifted by the sums of the bu
 before, so a source with a third of all rows is spread like any other.
 
 Edge cases: a null source is a source of its own.  A null text has no tokens; a document
-without tokens is taken in the first pass if its place is within the quota.  Null and
-repeated ids and repeated rows are each mixed as rows.  An empty table, or one
+without tokens is taken in the first pass if its place is within the quota.  Rows of a null
+or a repeated id are each mixed as rows, but those of equal id, source and text share a
+hash: a pass takes all of them or none, into one block, so the last pass of a source may
+exceed its quota by such a group, and none is ranked in one task.  An empty table, or one
 without any token, is returned as it is (one pass, one block).  One source keeps weight 1.
 Columns of ``documents`` are carried under one struct, so their names cannot clash.
 """
