@@ -505,6 +505,8 @@ def _column_blocks(classes: DataFrame, documents: DataFrame, hot: DataFrame, n_e
             for node, label, n, shingles in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "n", "shingles")), strict=True):
                 h = np.frombuffer(shingles, dtype=np.uint64)
                 block, at = hot_columns.blocks(h, node, label, blocks)
+                if not len(block):  # only hot columns, each of one label: no pair to find
+                    continue
                 order = np.argsort(block, kind="stable")
                 block, pos, h = block[order], at[order].astype("<u4"), h[at[order]]
                 edges = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])), len(h)).tolist()

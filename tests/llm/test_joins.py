@@ -93,6 +93,15 @@ def test_pairs_of_hot_columns_meet(monkeypatch):
             assert max(map(len, held.values())) < len(rows) - 4
 
 
+def test_a_text_of_hot_columns_alone(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_COLUMN", 20)
+    line, rng = "a b c d e f g h", random.Random(17)
+    rows = [(i, line) for i in range(40)] + [(100 + i, f"{line} {' '.join(words(rng, 30))}") for i in range(5)] + [(200, "q r s t u"), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+
+
 def test_one_of_each_with_repeated_ids(spark):
     one, two, three = ("a b c d e f g h", "q r s t u v w x", "k l m n o p y z")
     rows = [(5, one, 3), (5, two, 1), (5, one, 2), (6, one, 0), (8, two, 0), (9, three, 7), (9, None, 4), (9, "", 5)]
