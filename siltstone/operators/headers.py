@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +28,12 @@ def trimmed(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
 
 
 def signature(text: Column) -> Column:
     """The declaration line of a code chunk: up to four lines, comments and attributes skipped, cut at the first ``{`` or ``=``."""
-    noise = lambda x: (x == "") | x.rlike(r"^(//|#\[|/\*|\*|\"\"\"|''')")
+    noise = lambda x: reduce(or_, (x.startswith(s) for s in ("//", "#[", "/*", "*", '"""', "'''")), x == "")
     own = F.filter(_lines(text), lambda x: ~noise(x))
     ends = lambda x: x.contains("{") | x.endswith(";") | x.contains(" = ") | x.endswith(":")
     state = F.struct(F.lit(False).alias("done"), F.array().cast("array<string>").alias("parts"))
@@ -63,11 +66,10 @@ def doc_line(extractor: Column, text: Column) -> Column:
 def with_headers(hits: DataFrame) -> DataFrame:
     """Adds ``signature`` (code only) and ``synopsis``."""
     code = F.col("extractor").startswith("tree-sitter-")
-    own = signature(F.col("text"))
-    return hits.withColumns({
-        "signature": F.when(code, own),
-        "synopsis": F.when(code, F.coalesce(doc_line(F.col("extractor"), F.col("text")), own)).otherwise(trimmed(T.first_line(F.col("text")))),
-    })
+    # One after the other, so a signature is made once.
+    signed = hits.withColumn("signature", F.when(code, signature(F.col("text"))))
+    doc = doc_line(F.col("extractor"), F.col("text"))
+    return signed.withColumn("synopsis", F.when(code, F.coalesce(doc, F.col("signature"))).otherwise(trimmed(T.first_line(F.col("text")))))
 
 
 def header_bytes() -> Column:
@@ -82,10 +84,14 @@ def budgeted(hits: DataFrame, budget: int = BYTE_BUDGET) -> DataFrame:
     return sized.withColumn("bytes_so_far", total).where((F.col("rank") == 1) | (F.col("bytes_so_far") <= budget)).drop("text")
 
 
+def slim_synopsis() -> Column:
+    return F.when(F.col("signature").isNull(), F.col("synopsis"))
+
+
 def slim(headers: DataFrame) -> DataFrame:
     """The tool answer: no hash, extractor or byte offsets; no synopsis beside a signature."""
     dropped = headers.drop("source_hash", "extractor", "byte_start", "byte_end", "header_bytes", "bytes_so_far")
-    return dropped.withColumn("synopsis", F.when(F.col("signature").isNull(), F.col("synopsis")))
+    return dropped.withColumn("synopsis", slim_synopsis())
 
 
 def as_json(rows: DataFrame) -> DataFrame:

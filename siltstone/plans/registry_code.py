@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code, headers, index, lexical, observe, vector
 from ..sources.corpus import safe_relative
-from ..sources.scan import spread
+from ..sources.scan import dealt, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,7 +115,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in TEMPLATES:
         key = F.col(t.key).cast("string")
         text = F.replace(F.lit("".join(_plain(p.text) for p in t.pieces)), F.lit("{k}"), key)
-        own = spread(spark.read.parquet(f"{sf_dir}/{t.table}.parquet").select(F.concat(F.lit(f"{t.table}/"), key, F.lit(t.suffix)).alias("path"), text.alias("text")))
+        keys = dealt(spark.read.parquet(f"{sf_dir}/{t.table}.parquet").select(t.key))
+        own = keys.select(F.concat(F.lit(f"{t.table}/"), key, F.lit(t.suffix)).alias("path"), text.alias("text"))
         made = own if made is None else made.unionByName(own)
     return made.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "text")
 
@@ -201,9 +202,8 @@ def code_calls(spark, sf_dir):
 )
 def code_headers(spark, sf_dir):
     """Signatures, documentation lines and the tool answer, which has no synopsis beside a signature."""
-    own = headers.with_headers(code.extract(_files(spark, sf_dir)).where(F.col("extractor") != "plain-text-v1"))
-    slim = headers.slim(own).select("id", F.col("synopsis").alias("slim_synopsis"))
-    return own.join(slim, "id").select("source_path", "byte_start", "signature", "synopsis", "slim_synopsis")
+    own = headers.with_headers(code.extract(_files(spark, sf_dir), plain=False))
+    return own.select("source_path", "byte_start", "signature", "synopsis", headers.slim_synopsis().alias("slim_synopsis"))
 
 
 # A second reading of the files of documents: bytes that are no UTF-8, other extractors, forced and plain.

@@ -61,6 +61,17 @@ def texts(path, text, extractor):
     return [r["text"] for r in code.scan(path, "h", text, extractor)]
 
 
+def test_headers_of_code_are_made_by_one_scan(spark, tmp_path):
+    from siltstone.plans import registry_code
+
+    for t in registry_code.TEMPLATES:
+        spark.range(1, 4).withColumnRenamed("id", t.key).write.parquet(f"{tmp_path}/{t.table}.parquet")
+    made = registry_code.code_headers(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    assert made.count() == 3 * (5 + 4 + 2 + 2) and made.where("signature is not null and slim_synopsis is not null").count() == 0
+
+
 def test_an_error_costs_its_own_item_only():
     first, second = "@deco\ndef one(a):\n    return '''\ndef inside(): pass\n'''", "class Two:\n    x = (1,\n  2)\n\n    def m(self): pass"
     text = f"import os\n{first}\n\n{second}\nx = = 1\ndef broken(:\n    pass\nasync def three(): return 3  # end\n"
