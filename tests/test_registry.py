@@ -6,6 +6,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.plans import registry
 
@@ -47,3 +48,29 @@ def test_callees_of_both_kinds(spark, views):
     got = registry.QUERIES["graph_callees_all"](spark, SF).toPandas()
     assert len(got) == len(calls) + sum(count[named[k]] for (k,) in calls)
     assert (got["resolved"] == (got["definition_count"] == 1)).all() and set(got["resolved"]) == {True, False}
+
+
+@pytest.mark.parametrize(("n_parts", "n_sites"), [(60, 400), (400, 60)])
+def test_callees_of_one_name_are_dealt(spark, tmp_path, monkeypatch, n_parts, n_sites):
+    """Rows of a name that all parts share are those of plain loops, and not all made by one task, whichever side is longer."""
+    monkeypatch.setattr("siltstone.operators.graph.PAIRS", 500, raising=False)
+    parts, sites = [(i, "nut" if i else "bolt") for i in range(n_parts)], [(i % 50, i % n_parts, 1, i) for i in range(n_sites)]
+    tables = {
+        "part": (parts, "p_partkey long, p_name string"), "supplier": ([(1, "Acme")], "s_suppkey long, s_name string"), "orders": ([(i,) for i in range(50)], "o_orderkey long"),
+        "lineitem": ([*sites, sites[0]], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    }
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        got = registry.QUERIES["graph_callees_all"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = []
+    for order, part, _, line in [*sites, sites[0]]:
+        want.append((f"order_{order}", "Acme", "supplier/1", line, 1, True))
+        named = [f"part/{i}" for i, name in parts if name == parts[part][1]]
+        want += [(f"order_{order}", parts[part][1], i, line, len(named), len(named) == 1) for i in named]
+    columns = ["symbol", "callee", "definition_id", "site", "definition_count", "resolved"]
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want)
+    assert got.groupby("task").size().max() < len(got) / 2
