@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import graph
 from siltstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,27 @@ def test_callees_of_one_name_are_dealt(spark, tmp_path, monkeypatch, n_parts, n_
     columns = ["symbol", "callee", "definition_id", "site", "definition_count", "resolved"]
     assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want)
     assert got.groupby("task").size().max() < len(got) / 2
+
+
+def join_rows(node):
+    """Rows out of each join of a plan that ran."""
+    kind = node.nodeName()
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in kind else [node.children().apply(i) for i in range(node.children().size())]
+    return [*([node.metrics().get("numOutputRows").get().value()] if "Join" in kind else []), *(n for x in below for n in join_rows(x))]
+
+
+@pytest.mark.parametrize(("n_parts", "n_sites"), [(100, 300), (300, 100)])
+def test_callees_are_paired_behind_the_joins(spark, monkeypatch, n_parts, n_sites):
+    """Dealt callees, a definition without an id among them, equal the plain join's in every column, and no join makes a row for each pair."""
+    monkeypatch.setattr("siltstone.operators.graph.PAIRS", 5000)
+    monkeypatch.setattr("siltstone.operators.graph.BLOCK", 16, raising=False)
+    named = [(None if i == 7 else f"part/{i}", f"path{i % 5}", i, "nut" if i else "bolt") for i in range(n_parts)]
+    chunks = spark.createDataFrame([*named, *((f"order/{i}", "order", i, f"order_{i}") for i in range(20))], "id string, source_path string, byte_start long, symbol string")
+    sites = [(f"order/{i % 20}", i, i + 1, 0, 0, ("nut", "nut", "bolt", "undefined")[i % 4]) for i in range(n_sites)]
+    edges = spark.createDataFrame(sites, "src_chunk_id string, byte_start long, byte_end long, line_start long, line_end long, dst_symbol string")
+    want = graph.callees(chunks, edges, chunks.select("symbol")).collect()
+    dealt = graph.callees(chunks, edges, chunks.select("symbol"), dealt=True)
+    got = dealt.collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert len(got) == n_sites // 2 * (n_parts - 1) + n_sites // 4
+    assert max(join_rows(dealt._jdf.queryExecution().executedPlan())) < len(got) / 3
